@@ -7,8 +7,9 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: Rows that go to a Python worker at once. Texts may be long, so this is far below Spark's 10,000.
 BATCH_ROWS = 512
@@ -65,3 +66,36 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def text_bytes(column: str = "text"):
     """A text column as UTF-8 bytes, null as empty: Python workers then need not decode it."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
+
+
+def range_buckets(df: DataFrame, key: str, buckets: int) -> tuple[Column, list]:
+    """A bucket number by ranges of a numeric key, and the keys at which buckets begin. Null keys are in bucket 0.
+
+    The bounds are approximate quantiles: at most `buckets` numbers, whatever the size of `df`.
+    """
+    ranks = [(i + 1) / buckets for i in range(buckets - 1)]
+    found = df.select(F.percentile_approx(key, ranks, 20 * buckets).alias("q")).first()["q"] if ranks else None
+    bounds = sorted(set(found or []))
+    if not bounds:
+        return F.lit(0), bounds
+    above = F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))
+    return F.coalesce(F.size(above), F.lit(0)), bounds
+
+
+def running_sums(df: DataFrame, key: str, values: dict[str, str], ties: list[str], buckets: int = 64) -> DataFrame:
+    """`df` with a column for each of `values` (name: column to sum): the sum over all rows before, in order of key and ties.
+
+    Rows are ordered within range buckets only; one sum per bucket goes to the driver.
+    """
+    bucket, _ = range_buckets(df, key, buckets)
+    dealt = df.withColumn("_bucket", bucket)
+    sums = {r[0]: r[1:] for r in dealt.groupBy("_bucket").agg(*(F.sum(v) for v in values.values())).collect()}
+    starts, so_far = [], [0] * len(values)
+    for b in range(max(sums, default=0) + 1):
+        starts.append(list(so_far))
+        so_far = [x + (y or 0) for x, y in zip(so_far, sums.get(b, [0] * len(values)), strict=True)]
+    inside = W.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_first(), *ties).rowsBetween(W.unboundedPreceding, -1)
+    for i, (name, value) in enumerate(values.items()):
+        begin = F.element_at(F.array(*(F.lit(s[i]).cast("long") for s in starts)), F.col("_bucket") + 1)
+        dealt = dealt.withColumn(name, begin + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return dealt

@@ -3,11 +3,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, simhash
-from .common import load, written
+from . import mixing, packing, quality, simhash, sketch, token_store
+from .common import load, new_path, written
+
+#: A parameter of the operators; the files are not part of this repository.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +19,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(plan).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "tokens")
+    token_store.write_store(load(spark, sf_dir, "documents"), folder, TOKENIZER)
+    return token_store.read_back(spark, folder)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -24,10 +34,33 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(load(spark, sf_dir, "documents"), with_text=False)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sketch.with_next(load(spark, sf_dir, "documents"))
+    rows = rows.withColumn("edited", sketch.edited(F.col("text"), F.col("next_text")))
+    rows = rows.withColumn("edited_sketch", sketch.sketch(F.col("edited")))
+    own, other, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return rows.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        sketch.written_out(own).alias("fingerprint"),
+        sketch.written_out(other).alias("edited_fingerprint"),
+        sketch.likeness(own, other).alias("near_edited"),
+        sketch.likeness(own, following).alias("near_next"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op6_token_store": op6_token_store,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
+    "op9_packing": op9_packing,
+    "op10_sketch": op10_sketch,
 }
 
 #: SQL where it can express an operator; the others are tested against brute force in tests/llm.
