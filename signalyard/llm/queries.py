@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, quality, simhash, sketch, token_store
+from . import mixing, packing, pii, quality, simhash, sketch, token_store
 from .common import load, new_path, written
 
 #: A parameter of the operators; the files are not part of this repository.
@@ -19,6 +19,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(plan).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = written(pii.candidates(load(spark, sf_dir, "documents")), "pii")
+    marked = pii.accepted(found, pii.fit(found))
+    counts = [pii.count(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    base = F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return marked.select("doc_id", *counts, base, pii.joined(F.col("spans")).alias("spans"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
     token_store.write_store(load(spark, sf_dir, "documents"), folder, TOKENIZER)
@@ -56,6 +64,7 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op5_pii": op5_pii,
     "op6_token_store": op6_token_store,
     "op7_simhash": op7_simhash,
     "op8_quality": op8_quality,
