@@ -9,41 +9,42 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-_ODD = re.compile(r"[^\S \n]|᠎|<\|")
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
+#: White space other than space and line feed, and what begins a special token's string.
+_ODD = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "<|")
 #: Pieces that a worker keeps before it starts anew.
-KEEP = 600_000
+KEEP = 900_000
 _encoders: dict[str, Encoder] = {}
 
 
 class _Pieces(dict):
-    """Ids by piece, as bytes; a piece that is not yet known is encoded."""
+    """Ids of pieces, as bytes, by piece; `lead` stands before each. A piece that is not yet known is encoded."""
 
-    def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        super().__init__({"": b""})
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+    def __init__(self, lead: str, tokenizer) -> None:
+        super().__init__()
+        self.lead, self.tokenizer, self.model = lead, tokenizer, tokenizer.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         shown = {**{b: b for b in plain}, **{b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(plain)))}}
         self.shown = "".join(chr(shown[b]) for b in range(256))  # how byte-level vocabularies write bytes
+        self.shown_lead = lead.translate(self.shown)
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        stem = piece.rstrip(".,")
-        if stem != piece and stem and stem[-1].isalnum():
-            found = self[stem] + self[piece[len(stem) :]]
-        elif (piece[1:] if piece[0] == " " else piece).isalpha():  # one word for the pre-tokenizer: straight to the merges
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))
-            found = np.array([t.id for t in tokens], "<u4").tobytes()
+        if piece.isalpha():  # one word for the pre-tokenizer: straight to the merges
+            seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+            found = array("I", [t.id for t in self.model.tokenize(self.shown_lead + seen)]).tobytes()
+        elif (stem := piece.rstrip(".,")) != piece and stem and stem[-1].isalnum():
+            tail = piece[len(stem) :]
+            if tail not in self.tails:
+                self.tails[tail] = self.whole(tail)
+            found = self[stem] + self.tails[tail]
         else:
-            found = self.whole(piece)
+            found = self.whole(self.lead + piece)
         self[piece] = found
         return found
 
@@ -51,20 +52,32 @@ class _Pieces(dict):
 class Encoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.path = path
-        self.pieces = _Pieces(path)
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.first, self.later = _Pieces("", self.tokenizer), _Pieces(" ", self.tokenizer)
+        self.feed = self.first.whole("\n")
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if _ODD.search(text):
-            return self.pieces.whole(text)
-        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in (" ", "\n") or "\0" in text:
-            cut = _PIECES.findall(text)
-        else:
-            cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        if len(self.pieces) > KEEP:
-            self.pieces = _Pieces(self.path)
-        return b"".join(map(self.pieces.__getitem__, cut))
+        if any(map(text.__contains__, _ODD)):
+            return self.first.whole(text)
+        if len(self.first) + len(self.later) > KEEP:
+            self._begin()
+        first = self.first.__getitem__
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in (" ", "\n") or text[:1] in (" ", "\n"):
+            return b"".join(map(first, _PIECES.findall(text)))
+        later, feed, out = self.later.__getitem__, self.feed, []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            out.append(first(words[0]))
+            if len(words) > 1:
+                out.extend(map(later, words[1:]))
+            out.append(feed)
+        return b"".join(out[:-1])
 
 
 def encoder(path: str) -> Encoder:
