@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, simhash, sketch, token_store
+from . import mixing, packing, pii, quality, simhash, sketch, token_store, toxicity, url_rules
 from .common import load, new_path, written
 
 #: A parameter of the operators; the files are not part of this repository.
@@ -19,6 +19,17 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(plan).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(load(spark, sf_dir, "pages"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(~toxicity.held_out()))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = written(pii.candidates(load(spark, sf_dir, "documents")), "pii")
     marked = pii.accepted(found, pii.fit(found))
@@ -64,6 +75,8 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_url_rules": op2_url_rules,
+    "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
     "op6_token_store": op6_token_store,
     "op7_simhash": op7_simhash,

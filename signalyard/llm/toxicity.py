@@ -1,13 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document is the set of its terms: words in lower case, and the first four and five letters of longer words, so that
+A document is the set of its terms: words in lower case, and the first four to seven letters of longer words, so that
 unseen endings still count. Terms are hashed into buckets; the score is the logistic of a bias, one weight per term, and
 the dot products of the factors of all pairs of terms. The pairs are what a linear model lacks: an insult beside the
 mention of a group counts for more than the two by themselves. Terms that too few training documents hold are left out,
 and those that hardly differ between the classes, so long clean texts do not add up.
 
-The model is fitted on at most `sample` labelled documents, by hash order of their ids; that bound and the buckets bound
-what the driver holds. Whole texts are scored. Null or empty text: the bias alone. Null labels do not train. Null ids:
+The model is fitted on at most `sample` labelled documents, by hash order of their ids; that bounds
+what the driver holds, as only terms of these are weighed. Whole texts are scored. Null or empty text: the bias alone. Null labels do not train. Null ids:
 scored, never trained on. Repeated rows are scored each. Without labels of both kinds, every score is 0. Other columns
 are not read. Empty table: empty result.
 """
@@ -51,10 +51,7 @@ def terms(raw: bytes | None) -> set[str]:
     for token in set((raw or b"").decode("utf-8", "replace").lower().split()):
         for w in _LETTERS.findall(token):
             out.add(w)
-            if len(w) > 5:
-                out.add(w[:5] + "*")
-            if len(w) > 4:
-                out.add(w[:4] + "*")
+            out.update([w[:k] + "*" for k in range(4, min(len(w), 8))])
     return out
 
 
@@ -71,7 +68,7 @@ def buckets(raw: bytes | None, size: int, known: dict[str, int]) -> np.ndarray:
     return np.unique(np.array(found, np.int64))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, rank: int = 4, least: int = 4, epochs: int = 12, batch: int = 256, rate: float = 0.1, decay: float = 1e-4, seed: int = 5) -> Machine:
+def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, least: int = 4, apart: float = 5.5, pure: float = 0.7, epochs: int = 60, batch: int = 256, rate: float = 0.5, decay: float = 1e-5, seed: int = 5) -> Machine:
     """AdaGrad on the logistic loss. Classes weigh as they occur, so that scores are probabilities."""
     y, n = labels.astype(float), len(labels)
     pos = int(y.sum())
@@ -79,15 +76,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, rank: int = 4, le
         return Machine(-50.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
     flat, lengths = np.concatenate(rows), np.array([len(r) for r in rows])
     owner = np.repeat(np.arange(n), lengths)
-    seen = np.bincount(flat, minlength=size)
-    in_pos = np.bincount(flat, weights=y[owner], minlength=size)
-    expect, base = seen * pos / n, pos / n
-    z = (in_pos - expect) / np.sqrt(np.maximum(seen * base * (1 - base), 1e-9))
-    keep = np.flatnonzero((seen >= least) & (np.abs(z) >= 4))
-    place = np.full(size, -1)
-    place[keep] = np.arange(len(keep))
-    flat = place[flat]
-    flat, owner = flat[flat >= 0], owner[flat >= 0]
+    found, place = np.unique(flat, return_inverse=True)
+    seen = np.bincount(place, minlength=len(found))
+    in_pos = np.bincount(place, weights=y[owner], minlength=len(found))
+    base = pos / n
+    z = (in_pos - seen * base) / np.sqrt(seen * base * (1 - base))
+    good = (seen >= least) & (np.abs(z) >= apart) & (np.maximum(in_pos, seen - in_pos) >= pure * seen)
+    keep, number = found[good], np.cumsum(good) - 1
+    flat, owner = number[place[good[place]]], owner[good[place]]
     starts = np.searchsorted(owner, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(keep)), rng.normal(0, 0.02, (len(keep), rank)), float(np.log(base / (1 - base)))
@@ -110,7 +106,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, size: int, rank: int = 4, le
     return Machine(b, keep, w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000, size: int = 1 << 20, id_col: str = "doc_id", label_col: str = "toxic", **how) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000, size: int = 1 << 30, id_col: str = "doc_id", label_col: str = "toxic", **how) -> Machine:
     """Fit on labelled documents, of which `sample` at most are taken, by hash of the id."""
     prepare(docs.sparkSession)
     told = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"))
@@ -126,11 +122,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000, size: int =
     kind = docs.schema[id_col].dataType.simpleString()
     got = sorted((r["id"], r["b"], r["y"]) for r in texts.select(id_col, "raw", "y").mapInArrow(run, f"id {kind}, b binary, y int").toLocalIterator())
     rows = [np.frombuffer(r[1], "<u4").astype(np.int64) for r in got]
-    return fit(rows, np.array([r[2] for r in got], np.int64), size, **how)
+    return fit(rows, np.array([r[2] for r in got], np.int64), **how)
 
 
-def score(docs: DataFrame, model: Machine, size: int = 1 << 20, id_col: str = "doc_id") -> DataFrame:
-    """(id, score) of every document. The model, of a size that `size` and the rank bound, is broadcast."""
+def score(docs: DataFrame, model: Machine, size: int = 1 << 30, id_col: str = "doc_id") -> DataFrame:
+    """(id, score) of every document. The model, whose size the bound on the sample limits, is broadcast."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
