@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, pii, quality, simhash, sketch, token_store, toxicity, url_rules
+from . import mixing, packing, pii, quality, simhash, sketch, suffix_dedup, token_store, toxicity, url_rules
 from .common import load, new_path, written
 
 #: A parameter of the operators; the files are not part of this repository.
@@ -23,6 +23,10 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(load(spark, sf_dir, "pages"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.filter(~toxicity.held_out()))
@@ -76,6 +80,7 @@ def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_url_rules": op2_url_rules,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_pii": op5_pii,
     "op6_token_store": op6_token_store,
