@@ -28,34 +28,40 @@ from .common import prepare, running_sums, written
 from .tokens import encoder
 
 #: Ids that the rolling hash sees, and chunk lengths: least, mean beyond that, most.
-WINDOW, LEAST, MEAN, MOST = 16, 64, 256, 2048
+WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
 FAN_OUT = 256
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    if len(ids) <= LEAST:
-        return [len(ids)] if len(ids) else []
+def cut_points(ids: np.ndarray, ends: list[int]) -> list[list[int]]:
+    """Ends of the chunks of id streams that stand one after the other and end at `ends`.
+
+    The rolling hash runs over all of them at once: what it takes from the stream before lies within LEAST ids of a
+    stream's start, where no chunk ends.
+    """
     h = (ids.astype(np.uint64) + np.uint64(1)) * _MIX
     h ^= h >> np.uint64(29)
     width = 1
     while width < WINDOW:  # sums over 2, 4, ... ids, the later ones shifted
-        tail = h[:-width] << np.uint64(width)
-        h[width:] += tail
+        h[width:] += h[:-width] << np.uint64(width)
         width *= 2
-    ends, at = [], 0
-    for i in (np.flatnonzero((h * _MIX) >> np.uint64(32) < np.uint64(2**32 // MEAN)) + 1).tolist():
-        while i - at > MOST:
-            at += MOST
-            ends.append(at)
-        if i - at >= LEAST:
-            ends.append(i)
-            at = i
-    while len(ids) - at > MOST:
-        at += MOST
-        ends.append(at)
-    return [*ends, len(ids)] if at < len(ids) else ends
+    marks = (np.flatnonzero((h * _MIX) >> np.uint64(32) < np.uint64(2**32 // MEAN)) + 1).tolist()
+    out, k, at = [], 0, 0
+    for end in ends:
+        cuts = []
+        while True:
+            while k < len(marks) and marks[k] < at + LEAST:
+                k += 1
+            to = min(at + MOST, marks[k] if k < len(marks) else end)
+            if to >= end:
+                break
+            cuts.append(to)
+            at = to
+        if at < end:
+            cuts.append(end)
+        out.append(cuts)
+        at = end
+    return out
 
 
 def _digest(raw: bytes) -> bytes:
@@ -74,23 +80,33 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, w
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = encoder(tokenizer), set()
+        names = ["key", "doc_id", "n", "hashes", "ids", "kind"]
         for b in batches:
-            key, ids, n, hashes, raw, what = [], [], [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                stream = np.frombuffer(enc.encode(text or "") + end, "<u4")
-                packed, recipe, at = memoryview(stream.astype(stored).tobytes()), [], 0
-                for to in cut_points(stream):
+            streams = [enc.encode(text or "") + end for text in b.column(1).to_pylist()]
+            sizes = [len(s) // 4 for s in streams]
+            ids, ends = np.frombuffer(b"".join(streams), "<u4"), np.cumsum(sizes).tolist()
+            packed, at = memoryview(ids.astype(stored).tobytes()), 0
+            key, n, raw, recipes = [], [], [], []
+            for cuts in cut_points(ids, ends):
+                recipe = []
+                for to in cuts:
                     chunk = packed[at * width : to * width]
                     h = _digest(chunk)
                     recipe.append(h)
                     if h not in seen:  # of a task's own repeats, one goes on
                         seen.add(h)
-                        key.append(h), ids.append(None), n.append(to - at), hashes.append(None), raw.append(bytes(chunk)), what.append("chunk")
+                        key.append(h)
+                        n.append(to - at)
+                        raw.append(chunk)
                     at = to
-                key.append(_digest(repr(doc).encode() + b"".join(recipe)))
-                ids.append(doc), n.append(len(stream)), hashes.append(recipe), raw.append(None), what.append("recipe")
-            arrays = [pa.array(key, pa.binary()), pa.array(ids, b.column(0).type), pa.array(n, pa.int64()), pa.array(hashes, pa.list_(pa.binary())), pa.array(raw, pa.binary()), pa.array(what)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "n", "hashes", "ids", "kind"])
+                recipes.append(recipe)
+            keys = [_digest(repr(doc).encode() + b"".join(r)) for doc, r in zip(b.column(0).to_pylist(), recipes, strict=True)]
+            m = len(keys)
+            arrays = [pa.array(keys, pa.binary()), b.column(0), pa.array(sizes, pa.int64()), pa.array(recipes, pa.list_(pa.binary())), pa.nulls(m, pa.binary()), pa.array(["recipe"] * m)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            m = len(key)
+            arrays = [pa.array(key, pa.binary()), pa.nulls(m, b.column(0).type), pa.array(n, pa.int64()), pa.nulls(m, pa.list_(pa.binary())), pa.array(raw, pa.binary()), pa.array(["chunk"] * m, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()

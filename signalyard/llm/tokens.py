@@ -14,8 +14,8 @@ from array import array
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
 #: White space other than space and line feed, and what begins a special token's string.
 _ODD = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "<|")
-#: Pieces that a worker keeps before it starts anew.
-KEEP = 900_000
+#: Pieces in a generation: a worker keeps two, and what it looks up in the older one moves to the younger.
+KEEP = 600_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -30,12 +30,18 @@ class _Pieces(dict):
         self.shown = "".join(chr(shown[b]) for b in range(256))  # how byte-level vocabularies write bytes
         self.shown_lead = lead.translate(self.shown)
         self.tails: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isalpha():  # one word for the pre-tokenizer: straight to the merges
+        if len(self) >= KEEP:
+            self.older = dict(self)
+            self.clear()
+        if (found := self.older.get(piece)) is not None:
+            pass
+        elif piece.isalpha():  # one word for the pre-tokenizer: straight to the merges
             seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
             found = array("I", [t.id for t in self.model.tokenize(self.shown_lead + seen)]).tobytes()
         elif (stem := piece.rstrip(".,")) != piece and stem and stem[-1].isalnum():
@@ -55,9 +61,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._begin()
-
-    def _begin(self) -> None:
         self.first, self.later = _Pieces("", self.tokenizer), _Pieces(" ", self.tokenizer)
         self.feed = self.first.whole("\n")
 
@@ -65,8 +68,6 @@ class Encoder:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if any(map(text.__contains__, _ODD)):
             return self.first.whole(text)
-        if len(self.first) + len(self.later) > KEEP:
-            self._begin()
         first = self.first.__getitem__
         if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] in (" ", "\n") or text[:1] in (" ", "\n"):
             return b"".join(map(first, _PIECES.findall(text)))
