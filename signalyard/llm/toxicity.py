@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A document is the set of its terms: words in lower case, and the first four to seven letters of longer words, so that
-unseen endings still count. Terms are hashed into buckets; the score is the logistic of a bias, one weight per term, and
+A document is the set of its terms: words in lower case, and the first five and seven letters of longer words, so that
+unseen endings still count. Terms are hashed into 2^32 buckets; the score is the logistic of a bias, one weight per term, and
 the dot products of the factors of all pairs of terms. The pairs are what a linear model lacks: an insult beside the
 mention of a group counts for more than the two by themselves. Terms that too few training documents hold are left out,
 and those that hardly differ between the classes, so long clean texts do not add up.
@@ -13,7 +13,6 @@ are not read. Empty table: empty result.
 """
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: What is taken off both ends of a word.
+_MARKS = "".join(map(chr, range(33, 48))) + "0123456789:;<=>?@[\\]^_`{|}~¡¿«»“”‘’„…–—"
 
 
 @dataclass
@@ -37,53 +37,50 @@ class Machine:
     weight: np.ndarray
     factors: np.ndarray
 
+    def places(self, buckets: np.ndarray) -> np.ndarray:
+        """Where the buckets that have weights are in keep."""
+        if not len(self.keep):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keep, buckets), len(self.keep) - 1)
+        return at[self.keep[at] == buckets]
+
     def margin(self, buckets: np.ndarray) -> float:
-        at = np.searchsorted(self.keep, buckets)
-        at = at[at < len(self.keep)] if len(self.keep) else at[:0]
-        at = at[np.isin(self.keep[at], buckets)]
+        at = np.unique(self.places(buckets))
         v = self.factors[at]
         return float(self.bias + self.weight[at].sum() + 0.5 * ((v.sum(0) ** 2) - (v**2).sum(0)).sum())
 
 
 def terms(raw: bytes | None) -> set[str]:
     """The terms of a text."""
-    out: set[str] = set()
-    for token in set((raw or b"").decode("utf-8", "replace").lower().split()):
-        for w in _LETTERS.findall(token):
-            out.add(w)
-            out.update([w[:k] + "*" for k in range(4, min(len(w), 8))])
-    return out
-
-
-def buckets(raw: bytes | None, size: int, known: dict[str, int]) -> np.ndarray:
-    """Hash buckets of a text's terms, ascending and distinct. known: buckets by term, kept by the worker."""
-    if len(known) > 400_000:
-        known.clear()
-    found = []
-    for t in terms(raw):
-        b = known.get(t)
-        if b is None:
-            b = known[t] = xxhash.xxh32_intdigest(t.encode()) % size
-        found.append(b)
-    return np.unique(np.array(found, np.int64))
-
-
-def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, least: int = 4, apart: float = 5.5, pure: float = 0.7, epochs: int = 60, batch: int = 256, rate: float = 0.5, decay: float = 1e-5, seed: int = 5) -> Machine:
+    tokens = set((raw or b"").decode("utf-8", "replace").lower().split())
+    words = {t.strip(_MARKS) for t in tokens}
+    words.discard("")
+    words.update([w[:5] + "*" for w in words if len(w) > 5], [w[:7] + "*" for w in words if len(w) > 7])
+    return words
+
+
+def hashed(raw: bytes | None) -> np.ndarray:
+    """Buckets of a text's terms."""
+    found = terms(raw)
+    return np.fromiter(map(xxhash.xxh32_intdigest, found), np.uint32, len(found))
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, least: int = 4, apart: float = 5.5, pure: float = 0.7, epochs: int = 100, batch: int = 256, rate: float = 0.5, decay: float = 1e-5, seed: int = 5) -> Machine:
     """AdaGrad on the logistic loss. Classes weigh as they occur, so that scores are probabilities."""
     y, n = labels.astype(float), len(labels)
     pos = int(y.sum())
     if n == 0 or pos in (0, n):
-        return Machine(-50.0, np.zeros(0, np.int64), np.zeros(0), np.zeros((0, rank)))
-    flat, lengths = np.concatenate(rows), np.array([len(r) for r in rows])
-    owner = np.repeat(np.arange(n), lengths)
-    found, place = np.unique(flat, return_inverse=True)
-    seen = np.bincount(place, minlength=len(found))
-    in_pos = np.bincount(place, weights=y[owner], minlength=len(found))
+        return Machine(-50.0, np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, rank)))
+    found, seen = np.unique(np.concatenate(rows), return_counts=True)
+    some, often = np.unique(np.concatenate([r for r, q in zip(rows, labels.tolist(), strict=True) if q]), return_counts=True)
+    in_pos = np.zeros(len(found))
+    in_pos[np.searchsorted(found, some)] = often
     base = pos / n
     z = (in_pos - seen * base) / np.sqrt(seen * base * (1 - base))
-    good = (seen >= least) & (np.abs(z) >= apart) & (np.maximum(in_pos, seen - in_pos) >= pure * seen)
-    keep, number = found[good], np.cumsum(good) - 1
-    flat, owner = number[place[good[place]]], owner[good[place]]
+    keep = found[(seen >= least) & (np.abs(z) >= apart) & (np.maximum(in_pos, seen - in_pos) >= pure * seen)]
+    machine = Machine(0.0, keep, np.zeros(0), np.zeros((0, rank)))
+    placed = [np.unique(machine.places(r)) for r in rows]
+    owner, flat = np.repeat(np.arange(n), [len(p) for p in placed]), np.concatenate(placed)
     starts = np.searchsorted(owner, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     w, v, b = np.zeros(len(keep)), rng.normal(0, 0.02, (len(keep), rank)), float(np.log(base / (1 - base)))
@@ -102,11 +99,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, least: int =
             dw = np.bincount(idx, d, len(keep)) + decay * w
             dv = np.stack([np.bincount(idx, d * (sums[seg, f] - v[idx, f]), len(keep)) for f in range(rank)], 1) + decay * v
             gw, gv, gb = gw + dw**2, gv + dv**2, gb + slope.sum() ** 2
-            w, v, b = w - rate * dw / np.sqrt(gw), v - rate * 0.2 * dv / np.sqrt(gv), b - rate * slope.sum() / np.sqrt(gb)
+            w, v, b = w - rate * dw / np.sqrt(gw), v - rate * 0.05 * dv / np.sqrt(gv), b - rate * 0.1 * slope.sum() / np.sqrt(gb)
     return Machine(b, keep, w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000, size: int = 1 << 30, id_col: str = "doc_id", label_col: str = "toxic", **how) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str = "doc_id", label_col: str = "toxic", **how) -> Machine:
     """Fit on labelled documents, of which `sample` at most are taken, by hash of the id."""
     prepare(docs.sparkSession)
     told = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y"))
@@ -114,27 +111,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 16_000, size: int =
     texts = docs.select(id_col, F.col("text").cast("binary").alias("raw")).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         for b in batches:
-            packed = [buckets(x, size, known).astype("<u4").tobytes() for x in b.column(1).to_pylist()]
+            packed = [hashed(x).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary()), b.column(2)], names=["id", "b", "y"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sorted((r["id"], r["b"], r["y"]) for r in texts.select(id_col, "raw", "y").mapInArrow(run, f"id {kind}, b binary, y int").toLocalIterator())
-    rows = [np.frombuffer(r[1], "<u4").astype(np.int64) for r in got]
-    return fit(rows, np.array([r[2] for r in got], np.int64), **how)
+    got = texts.select(id_col, "raw", "y").mapInArrow(run, f"id {kind}, b binary, y int").collect()
+    got.sort(key=lambda r: (r["id"], r["y"]))
+    return fit([np.frombuffer(r["b"], np.uint32) for r in got], np.array([r["y"] for r in got], np.int64), **how)
 
 
-def score(docs: DataFrame, model: Machine, size: int = 1 << 30, id_col: str = "doc_id") -> DataFrame:
+def score(docs: DataFrame, model: Machine, id_col: str = "doc_id") -> DataFrame:
     """(id, score) of every document. The model, whose size the bound on the sample limits, is broadcast."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, known = shared.value, {}
+        m = shared.value
         for b in batches:
-            margins = np.array([m.margin(buckets(x, size, known)) for x in b.column(1).to_pylist()])
+            margins = np.array([m.margin(hashed(x)) for x in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(margins, -30, 30))), pa.float64())], names=[id_col, "score"])
 
     return docs.select(id_col, F.col("text").cast("binary").alias("raw")).mapInArrow(run, f"{id_col} {kind}, score double")
