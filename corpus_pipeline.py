@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from signalyard.llm import mixing, quality, simhash
+from signalyard.llm import mixing, packing, pii, quality, simhash
 from signalyard.llm.common import load, written
+from signalyard.llm.queries import TOKENIZER
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,16 +14,32 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one with the smallest id."""
     return simhash.one_of_each(docs)
 
 
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.redact(docs)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents, whole, as often as the mix of sources takes them."""
     return mixing.mix_documents(docs)
 
 
-STAGES = [("quality rules", quality_stage), ("simhash near-dedup", simhash_stage), ("mixing", mixing_stage)]
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in the training sequences."""
+    return packing.pack_documents(docs, TOKENIZER)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("simhash near-dedup", simhash_stage),
+    ("pii", pii_stage),
+    ("mixing", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 
 #: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None

@@ -68,26 +68,35 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
 
 
+def bucket_count(spark: SparkSession, least: int = 64) -> int:
+    """Buckets for a range-wise step: twice the shuffle partitions, which a cluster sets by the size of its input."""
+    return max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def range_buckets(df: DataFrame, key: str, buckets: int) -> tuple[Column, list]:
     """A bucket number by ranges of a numeric key, and the keys at which buckets begin. Null keys are in bucket 0.
 
-    The bounds are approximate quantiles: at most `buckets` numbers, whatever the size of `df`.
+    The bounds are approximate quantiles: at most `buckets` numbers, whatever the size of `df`. A key is looked up in
+    every k-th bound and then in the k that follow.
     """
     ranks = [(i + 1) / buckets for i in range(buckets - 1)]
     found = df.select(F.percentile_approx(key, ranks, 20 * buckets).alias("q")).first()["q"] if ranks else None
     bounds = sorted(set(found or []))
     if not bounds:
         return F.lit(0), bounds
-    above = F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(key))
-    return F.coalesce(F.size(above), F.lit(0)), bounds
+    k = max(1, round(len(bounds) ** 0.5))
+    every, coarse = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, bounds[k - 1 :: k]))
+    steps = F.size(F.filter(coarse, lambda b: b < F.col(key))) * k
+    rest = F.size(F.filter(F.slice(every, steps + 1, F.lit(k)), lambda b: b < F.col(key)))
+    return F.when(F.col(key).isNull(), 0).otherwise(steps + rest), bounds
 
 
-def running_sums(df: DataFrame, key: str, values: dict[str, str], ties: list[str], buckets: int = 64) -> DataFrame:
+def running_sums(df: DataFrame, key: str, values: dict[str, str], ties: list[str], buckets: int | None = None) -> DataFrame:
     """`df` with a column for each of `values` (name: column to sum): the sum over all rows before, in order of key and ties.
 
     Rows are ordered within range buckets only; one sum per bucket goes to the driver.
     """
-    bucket, _ = range_buckets(df, key, buckets)
+    bucket, _ = range_buckets(df, key, buckets or bucket_count(df.sparkSession))
     dealt = df.withColumn("_bucket", bucket)
     sums = {r[0]: r[1:] for r in dealt.groupBy("_bucket").agg(*(F.sum(v) for v in values.values())).collect()}
     starts, so_far = [], [0] * len(values)

@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import drop_written, prepare, written
 
@@ -185,6 +186,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
     """The documents without near duplicates: one of each component stays, the one with the smallest id; of repeated rows of that id, one."""
-    found = near_duplicates(docs, id_col, text_col, distance=distance)
-    keep = written(found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct(), "kept")
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_id"))).drop("_id").dropDuplicates([id_col])
+    found = written(near_duplicates(docs, id_col, text_col, distance=distance), "near-duplicates")
+    keep = written(found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")), "kept")
+    out = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_id")))
+    names = docs.columns
+    if keep.filter("_n > 1").isEmpty():
+        return out.select(*names)
+    first = F.row_number().over(W.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))
+    return out.select(*names).withColumn("_first", first).filter("_first = 1").select(*names)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import range_buckets
+from .common import bucket_count, range_buckets
 
 #: Hashes are 32 bits; those below 2^32 * FRACTION are kept.
 FRACTION = 0.25
@@ -65,19 +65,20 @@ def merged(sketches: DataFrame, by: str, column: str = "sketch") -> DataFrame:
     return each.groupBy(by).agg(F.array_sort(F.collect_set("h")).alias(column))
 
 
-def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 64) -> DataFrame:
+def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """(key, text, sketch, next_text, next_sketch): each document beside the next in ascending key, the first after the last.
 
     Texts are dealt by key range once; the first document of each range is also dealt to the range before.
     """
-    bucket, _ = range_buckets(docs.select(key), key, buckets)
+    bucket, _ = range_buckets(docs.select(key), key, buckets or bucket_count(docs.sparkSession))
     keyed = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"), bucket.alias("bucket"))
     place = F.struct(F.col(key).isNotNull().alias("some"), F.col(key).alias("key"))
     firsts = keyed.select(place.alias("place"), "bucket").groupBy("bucket").agg(F.min("place").alias("first")).orderBy("bucket").collect()
     before = {r["bucket"]: firsts[i - 1]["bucket"] for i, r in enumerate(firsts)}
-    is_first = F.lit(False)
-    for r in firsts:
-        is_first = is_first | ((F.col("bucket") == r["bucket"]) & F.col(key).eqNullSafe(F.lit(r["first"]["key"])))
+    heads = [r["first"]["key"] for r in firsts if r["first"]["some"]]
+    is_first = F.col(key).isin(heads) if heads else F.lit(False)
+    if firsts and not firsts[0]["first"]["some"]:
+        is_first = F.coalesce(is_first, F.lit(False)) & (F.col("bucket") != firsts[0]["bucket"]) | F.col(key).isNull()
     previous = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("bucket")) if before else F.lit(0)
     own, guest = F.struct("bucket", F.lit(False).alias("guest")), F.struct(previous.alias("bucket"), F.lit(True).alias("guest"))
     dealt = keyed.withColumn("to", F.explode(F.when(is_first, F.array(own, guest)).otherwise(F.array(own))))

@@ -71,7 +71,7 @@ def _digest(raw: bytes) -> bytes:
 _STAGED = "key binary, doc_id {kind}, n long, hashes array<binary>, ids binary, kind string"
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, width: int = 2, buckets: int = 64) -> None:
+def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, width: int = 2, buckets: int | None = None) -> None:
     """Encode all documents and write the store. width: bytes of an id in the files, 2 for vocabularies below 65,536."""
     spark = docs.sparkSession
     prepare(spark)
@@ -123,7 +123,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, w
     staged.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/store")
     recipes = _staged(spark, folder, kind).filter("kind = 'recipe'").select("doc_id", "n", "hashes", "key")
     placed = running_sums(recipes.withColumn("one", F.lit(1)), "doc_id", {"start": "n", "rank": "one"}, ["key"], buckets)
-    placed.repartitionByRange(buckets, "rank").sortWithinPartitions("rank").select("doc_id", F.col("n").alias("n_tokens"), "hashes", "rank", "start").write.option("compression", "zstd").parquet(f"{folder}/recipes")
+    placed.repartitionByRange(F.col("rank")).sortWithinPartitions("rank").select("doc_id", F.col("n").alias("n_tokens"), "hashes", "rank", "start").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     root, n_docs, n_tokens = _root(read_recipes(spark, folder, kind))
     spark.createDataFrame([(root, n_docs, n_tokens, width)], "root string, n_docs long, n_tokens long, width int").coalesce(1).write.parquet(f"{folder}/manifest")
 
