@@ -208,13 +208,18 @@ def read_chunks(spark: SparkSession, folder: str, kind: str = "long", width: int
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             crc, n, wide = [], [], []
-            for h, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            raws = b.column(1).to_pylist()
+            ids = memoryview(np.frombuffer(b"".join(raws), f"<u{width}").astype("<u4").tobytes())
+            at = 0
+            for h, raw in zip(b.column(0).to_pylist(), raws, strict=True):
                 if _digest(raw) != h:
                     raise ValueError(f"chunk {h.hex()} is damaged")
-                ids = np.frombuffer(raw, f"<u{width}").astype("<u4").tobytes()
-                crc.append(zlib.crc32(ids))
-                n.append(len(ids) // 4)
-                wide.append(ids)
+                to = at + len(raw) // width * 4
+                crc.append(zlib.crc32(ids[at:to]))
+                n.append((to - at) // 4)
+                if with_ids:
+                    wide.append(bytes(ids[at:to]))
+                at = to
             arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64())] + [pa.array(wide, pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays(arrays, names=["hash", "n", "crc", "ids"][: 3 + with_ids])
 

@@ -1,21 +1,24 @@
 """Token ids of whole texts with a public byte-level BPE of the tokenizers library.
 
 A text is cut where the pre-tokenizer's pattern has a boundary whatever stands around it: before white space that
-follows other characters, and between a letter or digit and a full stop or comma. The pieces are encoded once each and
+follows other characters, and between a letter or digit and the punctuation that
+ends a word. The pieces are encoded once each and
 kept, so that common words cost a look-up. Ids are the same as for the whole text; a text with white space other than
 space and line feed, or with the string of a special token, is encoded as a whole.
 """
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
+from string import punctuation
 
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
 #: White space other than space and line feed, and what begins a special token's string.
 _ODD = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "<|")
 #: Pieces in a generation: a worker keeps two, and what it looks up in the older one moves to the younger.
-KEEP = 600_000
+KEEP = 450_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -44,7 +47,7 @@ class _Pieces(dict):
         elif piece.isalpha():  # one word for the pre-tokenizer: straight to the merges
             seen = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
             found = array("I", [t.id for t in self.model.tokenize(self.shown_lead + seen)]).tobytes()
-        elif (stem := piece.rstrip(".,")) != piece and stem and stem[-1].isalnum():
+        elif (stem := piece.rstrip(punctuation)) != piece and stem and stem[-1].isalnum():
             tail = piece[len(stem) :]
             if tail not in self.tails:
                 self.tails[tail] = self.whole(tail)
@@ -76,13 +79,16 @@ class Encoder:
             words = line.split(" ")
             out.append(first(words[0]))
             if len(words) > 1:
-                out.extend(map(later, words[1:]))
+                del words[0]
+                out.extend(map(later, words))
             out.append(feed)
-        return b"".join(out[:-1])
+        out.pop()
+        return b"".join(out)
 
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file; it outlives a task."""
     if path not in _encoders:
+        gc.disable()  # what a worker keeps and makes here is free of cycles; walking it costs time
         _encoders[path] = Encoder(path)
     return _encoders[path]
