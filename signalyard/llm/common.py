@@ -1,16 +1,15 @@
 """What the training-data operators share: text as bytes, code shipping, and tables in the shared folder."""
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..runtime import ship
+
 #: Rows that go to a Python worker at once. Texts may be long, so this is far below Spark's 10,000.
 BATCH_ROWS = 512
 
@@ -18,16 +17,7 @@ BATCH_ROWS = 512
 def prepare(spark: SparkSession) -> None:
     """Make the package importable on every executor and keep Arrow batches small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    sc = spark.sparkContext
-    if getattr(sc, "_signalyard_shipped", False):
-        return
-    package = Path(__file__).resolve().parent.parent
-    target = Path(tempfile.mkdtemp(prefix="signalyard")) / "signalyard_code.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, os.path.join(package.name, p.relative_to(package)))
-    sc.addPyFile(str(target))
-    sc._signalyard_shipped = True
+    ship(spark)
 
 
 def shared_folder(spark: SparkSession) -> str:

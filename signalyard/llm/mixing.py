@@ -115,6 +115,6 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repea
     """The mix as documents, whole and repeated as often as they are served. A document at the cut is in if at least
     half of it is."""
     plan = written(mix_sources(sized(docs), weights=weights, max_repeats=max_repeats), "mix-plan")
-    copies = mixed_sequence(plan, max_repeats=max_repeats).filter("2 * take >= size").groupBy("doc_id").agg(F.count("*").cast("int").alias("_copies"))
-    rows = docs.join(copies.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = mixed_sequence(plan, max_repeats=max_repeats).filter("2 * take >= size").groupBy("doc_id").agg(F.count("*").cast("int").alias("__copies"))
+    rows = docs.join(copies.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

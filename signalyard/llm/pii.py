@@ -234,18 +234,19 @@ def count(spans: Column, kind: str) -> Column:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with <KIND> in place of every span; overlapping spans are replaced together, by the first one's kind."""
     model = fit(candidates(docs, docs.columns[0], text_col))
-    names = docs.columns
-    marked = accepted(docs.withColumn("candidates", _candidates(F.coalesce(F.col(text_col), F.lit("")))), model)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))  # other columns may have any names
+    text = F.col(f"doc.{text_col}")
+    marked = accepted(whole.withColumn("candidates", _candidates(F.coalesce(text, F.lit("")))), model)
     name = lambda k: F.element_at(F.array(*(F.lit(f"<{x.upper()}>") for x in KINDS)), k + 1)
-    text = F.col(text_col)
 
     def step(a: Column, s: Column) -> Column:
         gap = F.substr(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        whole = F.struct(s["end"].alias("at"), F.concat(a["out"], gap, name(s["kind"])).alias("out"))
+        fresh = F.struct(s["end"].alias("at"), F.concat(a["out"], gap, name(s["kind"])).alias("out"))
         inside = F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))
-        return F.when(s["start"] >= a["at"], whole).otherwise(inside)
+        return F.when(s["start"] >= a["at"], fresh).otherwise(inside)
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.length(text))))
-    out = marked.withColumn(text_col, F.when(F.size("spans") > 0, clean).otherwise(text))
-    return out.withColumn("n_chars", F.length(text_col).cast("long")).select(*names) if "n_chars" in names else out.select(*names)
+    out = marked.select("doc", F.when(F.size("spans") > 0, clean).otherwise(text).alias("clean"))
+    renewed = {text_col: F.col("clean"), "n_chars": F.length("clean").cast("long")}
+    return out.select(*(renewed.get(c, F.col(f"doc.{c}")).alias(c) for c in docs.columns))

@@ -187,10 +187,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
     """The documents without near duplicates: one of each component stays, the one with the smallest id; of repeated rows of that id, one."""
     found = written(near_duplicates(docs, id_col, text_col, distance=distance), "near-duplicates")
-    keep = written(found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n")), "kept")
-    out = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_id")))
-    names = docs.columns
-    if keep.filter("_n > 1").isEmpty():
+    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
+    keep = written(keep, "kept")
+    out, names = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id"))), docs.columns
+    if keep.filter("__n > 1").isEmpty():
         return out.select(*names)
     first = F.row_number().over(W.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))
-    return out.select(*names).withColumn("_first", first).filter("_first = 1").select(*names)
+    return out.select(*names).withColumn("__first", first).filter("__first = 1").select(*names)
