@@ -116,5 +116,6 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repea
     half of it is."""
     plan = written(mix_sources(sized(docs), weights=weights, max_repeats=max_repeats), "mix-plan")
     copies = mixed_sequence(plan, max_repeats=max_repeats).filter("2 * take >= size").groupBy("doc_id").agg(F.count("*").cast("int").alias("__copies"))
-    rows = docs.join(copies.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    # ids grow with the documents: they are shuffled, never broadcast, and the join builds on them, not on the texts
+    rows = docs.join(copies.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")))
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)

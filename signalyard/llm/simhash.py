@@ -189,7 +189,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = written(near_duplicates(docs, id_col, text_col, distance=distance), "near-duplicates")
     keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
     keep = written(keep, "kept")
-    out, names = docs.join(keep, F.col(id_col).eqNullSafe(F.col("__id"))), docs.columns
+    # ids grow with the documents: they are shuffled, never broadcast, and the join builds on them, not on the texts
+    out, names = docs.join(keep.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id"))), docs.columns
     if keep.filter("__n > 1").isEmpty():
         return out.select(*names)
     first = F.row_number().over(W.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))
