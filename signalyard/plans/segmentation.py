@@ -238,7 +238,7 @@ def refined_intervals(spark, sf):
     return rounded(refine.refine(intervals(spark, sf), grades(spark, sf), samples(spark, sf), LENGTH, BIN, excess=0.9))
 
 
-@query("worst_overlap", f"WITH {INTERVALS}, sp AS (SELECT rec, k * 10.0 AS lo, k * 10.0 + 25.0 AS hi FROM lens, range(0, 6) r(k)) SELECT s.rec, lo, hi, min(i.tier) AS worst, count(*) AS n FROM sp s JOIN intervals i ON i.rec = s.rec AND i.start_sec < hi AND i.end_sec > lo GROUP BY 1, 2, 3")
+@query("worst_overlap", f"WITH {INTERVALS}, sp AS (SELECT rec, (k * 10.0)::DOUBLE AS lo, (k * 10.0 + 25.0)::DOUBLE AS hi FROM lens, range(0, 6) r(k)) SELECT s.rec, lo, hi, min(i.tier) AS worst, count(*) AS n FROM sp s JOIN intervals i ON i.rec = s.rec AND i.start_sec < hi AND i.end_sec > lo GROUP BY 1, 2, 3")
 def worst_overlap(spark, sf):
     spans = windows.lengths(samples(spark, sf)).select("rec", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"))
     spans = spans.select("rec", (F.col("k") * 10.0).cast("double").alias("lo"), (F.col("k") * 10.0 + 25.0).cast("double").alias("hi"))
