@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import arrays, kernels
+from ..functions import arrays, kernels, research, usability
+from ..operators import explain
 from ..sources import tables
 from .sql import VECTORS, Z
 from .views import rounded, samples, standardized, vectors
@@ -276,3 +277,110 @@ def flatline_per_recording(spark, sf):
 
     return rounded(quality.flatline(samples(spark, sf), 8.0))
 
+
+
+@query("quality_matrix", f"WITH {VECTORS}, c AS (SELECT vec_id, i, x, x - avg(x) OVER w AS c, max(x) OVER w AS hi, min(x) OVER w AS lo, abs(x - lag(x) OVER (PARTITION BY vec_id ORDER BY i)) AS d FROM v WINDOW w AS (PARTITION BY vec_id)), g AS (SELECT vec_id, avg(c * c) AS v, avg(c * c * c) AS m3, avg(c * c * c * c) AS m4, avg(CASE WHEN d < 1e-4 THEN 1.0 WHEN d IS NULL THEN NULL ELSE 0.0 END) AS flatline, avg(CASE WHEN hi - x < 0.01 * (hi - lo + 1e-9) OR x - lo < 0.01 * (hi - lo + 1e-9) THEN 1.0 ELSE 0.0 END) AS saturation FROM c GROUP BY 1) SELECT vec_id, round(m4 / (v * v) - 3, 6) AS kurtosis, round(m3 / pow(v, 1.5), 6) AS skewness, round(flatline, 6) AS flatline, round(saturation, 6) AS saturation FROM g")
+def quality_matrix(spark, sf):
+    return rounded(batched(vectors(spark, sf), lambda x: research.quality_matrix(x, 64.0, "ppg"), ["kurtosis", "skewness", "flatline", "saturation"]))
+
+
+@query("nonlinear_features")
+def nonlinear_features(spark, sf):
+    names = list(research.nonlinear(np.random.default_rng(0).normal(size=(1, 64)), 64.0))
+    return rounded(batched(vectors(spark, sf), lambda x: research.nonlinear(x, 64.0), names))
+
+
+@query("poincare", f"WITH {Z}, d AS (SELECT vec_id, i, z - lag(z) OVER w AS d FROM zs WINDOW w AS (PARTITION BY vec_id ORDER BY i)), p AS (SELECT vec_id, d AS b, lag(d) OVER (PARTITION BY vec_id ORDER BY i) AS a FROM d) SELECT vec_id, round(stddev_pop((b - a) / sqrt(2)), 6) AS sd1, round(stddev_pop((b + a) / sqrt(2)), 6) AS sd2 FROM p WHERE a IS NOT NULL GROUP BY 1")
+def poincare(spark, sf):
+    def fn(x: np.ndarray) -> dict[str, np.ndarray]:
+        found = research.nonlinear(x, 64.0)
+        return {"sd1": found["poincare_sd1"], "sd2": found["poincare_sd2"]}
+
+    return rounded(batched(vectors(spark, sf), fn, ["sd1", "sd2"]))
+
+
+@query("derived_channels")
+def derived_channels(spark, sf):
+    def fn(x: np.ndarray) -> dict[str, np.ndarray]:
+        return {f"{k}_{s}": getattr(v, s)(1) for k, v in research.channels(x, 64.0).items() for s in ("mean", "max")}
+
+    return rounded(batched(vectors(spark, sf), fn, [f"{k}_{s}" for k in ("raw", "stalta", "trend", "peak", "tkeo") for s in ("mean", "max")]))
+
+
+@query("spectral_figures")
+def spectral_figures(spark, sf):
+    names = [n for n in research.spectral_figures(np.zeros((1, 64)), 128.0, "eeg")]
+    out = batched(vectors(spark, sf), lambda x: {f"f{k}": v for k, v in enumerate(research.spectral_figures(x, 128.0, "eeg").values())}, [f"f{k}" for k in range(len(names))])
+    return rounded(out.select("vec_id", *(F.col(f"f{k}").alias(n.replace("-", "_").replace(".", "p")) for k, n in enumerate(names))))
+
+
+@query("band_usability")
+def band_usability(spark, sf):
+    kind = "array<struct<band:string,lo_hz:double,hi_hz:double,usable:boolean,snr_db:double,detail:string>>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"vec_id": f["vec_id"], "rows": [usability.eeg_bands(np.asarray(w, float), 16.0) for w in f["w"]]})
+
+    found = vectors(spark, sf).select("vec_id", "w").mapInPandas(run, f"vec_id long, rows {kind}")
+    return rounded(found.select("vec_id", F.explode("rows").alias("r")).select("vec_id", "r.*"))
+
+
+@query("component_usability")
+def component_usability(spark, sf):
+    kind = "array<struct<component:string,usable:boolean,value:double,detail:string>>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"vec_id": f["vec_id"], "rows": [usability.eda_components(2 + np.asarray(w, float), 8.0) for w in f["w"]]})
+
+    found = vectors(spark, sf).select("vec_id", "w").mapInPandas(run, f"vec_id long, rows {kind}")
+    return rounded(found.select("vec_id", F.explode("rows").alias("r")).select("vec_id", "r.*"))
+
+
+@query("integrity_guard")
+def integrity_guard(spark, sf):
+    rows = vectors(spark, sf).select("vec_id", "w", F.when(F.col("label") < 5, 0.2).otherwise(0.8).alias("p_unusable"))
+    return rounded(explain.integrity_guard(rows, 64.0, "ecg", "vec_id").drop("w"))
+
+
+@query("rate_usability")
+def rate_usability(spark, sf):
+    rows = vectors(spark, sf).select("vec_id", "w", F.concat(F.lit("Q"), (F.col("label") % 4).cast("string")).alias("tier"))
+    return rounded(explain.rate_usability(rows, 16.0, "ppg", "vec_id").drop("w"))
+
+
+def deviation_grade(x: np.ndarray) -> np.ndarray:
+    """A grader for explanations: worse the more a window deviates."""
+    s = np.clip(x.std(1) * 4, 0, 1)
+    return np.stack([s * 0.6, s * 0.4, (1 - s) * 0.4, (1 - s) * 0.6], 1)
+
+
+@query("saliency")
+def saliency(spark, sf):
+    def fn(x: np.ndarray) -> dict[str, np.ndarray]:
+        maps = np.stack([explain.saliency(r, deviation_grade, 16.0) for r in x])
+        return {"peak": maps.max(1), "at": maps.argmax(1) / 16.0, "spread": (maps > 0.5 * maps.max(1, keepdims=True)).mean(1)}
+
+    return rounded(batched(vectors(spark, sf), fn, ["peak", "at", "spread"]))
+
+
+@query("group_attribution")
+def group_attribution(spark, sf):
+    """Shapley values of two groups of features for a logistic grade of the EEG pack."""
+    groups = [list(range(6)), list(range(6, 13))]
+
+    def fn(x: np.ndarray) -> dict[str, np.ndarray]:
+        have = np.stack(list(kernels.eeg_pack(kernels.Batch(x, 64.0)).values()), 1)
+        value = lambda f: 1 / (1 + np.exp(-f.mean(1)))
+        phi = np.stack([explain.group_shapley(value, h, np.zeros(have.shape[1]), groups) for h in have])
+        return {"spectral": phi[:, 0], "temporal": phi[:, 1]}
+
+    return rounded(batched(vectors(spark, sf), fn, ["spectral", "temporal"]))
+
+
+@query("narratives")
+def narratives(spark, sf):
+    rows = saliency(spark, sf).withColumn("lead", F.lit("Spectral")).withColumn("phi", F.col("peak") - 0.4).withColumn("tags", F.when(F.col("vec_id") % 2 == 0, F.array(F.lit("motion"))).otherwise(F.array().cast("array<string>")))
+    text = explain.narrative(F.lit("Q1"), F.lit("Poor"), F.lit(4.0), F.col("at"), F.col("spread"), F.col("peak"), F.col("lead"), F.col("phi"), F.col("tags"))
+    return rows.select("vec_id", text.alias("narrative"))
