@@ -171,11 +171,81 @@ class Wfdb(DataSource):
         return WfdbReader(self.options)
 
 
+#: Fields of an EDF signal header, in order, and their widths.
+EDF_FIELDS = (("label", 16), ("transducer", 80), ("unit", 8), ("low", 8), ("high", 8), ("dig_low", 8), ("dig_high", 8), ("filter", 80), ("samples", 8), ("reserved", 32))
+
+
+def read_edf_header(raw: bytes) -> dict:
+    """Header of an EDF or BDF file: record length in s, records, bytes a sample, and signals in order."""
+    size = 3 if raw[:1] == b"\xff" else 2
+    text = raw.decode("latin-1")
+    k = int(text[252:256])
+    head = {"start": int(text[184:192]), "records": int(text[236:244]), "seconds": float(text[244:252]), "size": size, "signals": [{} for _ in range(k)]}
+    at = 256
+    for name, width in EDF_FIELDS:
+        for s in head["signals"]:
+            s[name] = text[at : at + width].strip()
+            at += width
+    for s in head["signals"]:
+        s["samples"] = int(s["samples"])
+        span = float(s["dig_high"]) - float(s["dig_low"])
+        if not span or head["seconds"] <= 0 or head["records"] < 1:
+            raise ValueError("an EDF header without a rate or a range")
+        s["gain"] = (float(s["high"]) - float(s["low"])) / span
+        s["offset"] = float(s["low"]) - float(s["dig_low"]) * s["gain"]
+        s["fs"] = s["samples"] / head["seconds"]
+    return head
+
+
+class EdfReader(DataSourceReader):
+    def __init__(self, options: dict) -> None:
+        self.path = Path(options["path"].removeprefix("file:"))
+        with self.path.open("rb") as f:
+            first = f.read(256)
+            self.header = read_edf_header(first + f.read(256 * int(first[252:256])))
+        self.block = int(options.get("block", 256))
+
+    def partitions(self) -> list[Range]:
+        n = self.header["records"]
+        return [Range(s, min(n, s + self.block)) for s in range(0, n, self.block)]
+
+    def read(self, part: Range) -> Iterator[tuple]:
+        h = self.header
+        size, each = h["size"], sum(s["samples"] for s in h["signals"])
+        with self.path.open("rb") as f:
+            f.seek(h["start"] + part.start * each * size)
+            raw = np.frombuffer(f.read((part.end - part.start) * each * size), np.uint8).reshape(-1, size)
+        wide = np.zeros((len(raw), 4), np.uint8)
+        wide[:, 4 - size :] = raw
+        values, at = (wide.view("<i4")[:, 0] >> (8 * (4 - size))).reshape(-1, each), 0
+        for k, s in enumerate(h["signals"]):
+            x = values[:, at : at + s["samples"]].ravel() * s["gain"] + s["offset"]
+            at += s["samples"]
+            if "Annotations" not in s["label"]:
+                for n, v in enumerate(x.tolist(), part.start * s["samples"]):
+                    yield self.path.stem, s["label"], k, n, v
+
+
+class Edf(DataSource):
+    """spark.read.format("edf").load("record.edf"): samples of EDF and BDF files, read by ranges of `block` data records."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "edf"
+
+    def schema(self) -> str:
+        return "recording_id string, channel string, channel_index int, n long, x double"
+
+    def reader(self, schema: T.StructType) -> EdfReader:
+        return EdfReader(self.options)
+
+
 def open_recording(spark: SparkSession, path: str, kind: str, index: str = "n") -> DataFrame:
     """Samples of a recording in long form; formats that are not read are refused."""
-    if kind == "wfdb":
-        spark.dataSource.register(Wfdb)
-        return spark.read.format("wfdb").load(path)
+    if kind in ("wfdb", "edf", "bdf"):
+        source = Wfdb if kind == "wfdb" else Edf
+        spark.dataSource.register(source)
+        return spark.read.format(source.name()).load(path)
     if kind in ("parquet", "csv"):
         from .tables import channels_of, to_long
 

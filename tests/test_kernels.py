@@ -131,3 +131,50 @@ def test_intervals_of_clusters(spark):
         assert r["lo"] < r["mean"] < r["hi"] and r["n_clusters"] == 12
     assert statistics.t_quantile(0.975, 11) == pytest.approx(2.200985, abs=1e-3) and statistics.t_quantile(0.975, 1) == pytest.approx(12.7062, abs=1e-3)
     assert statistics.t_quantile(0.975, 4) == pytest.approx(2.776445, abs=0.02) and math.isclose(statistics.t_quantile(0.975, 2), 4.302653, rel_tol=1e-5)
+
+
+def test_phrases_of_known_strings():
+    from signalyard.functions import research
+
+    assert research.phrases(b"0001101001000101") == 6 and research.phrases(b"0" * 50) == 2 and research.phrases(b"") == 0
+
+
+def test_research_banks_tell_noise_from_rhythm():
+    from signalyard.functions import research
+
+    x = np.stack([wave(1, 64, 10), np.random.default_rng(0).normal(size=640)])
+    f = research.nonlinear(x, 64)
+    assert all(np.isfinite(v).all() for v in f.values()) and len(f) == 18
+    assert f["sample_entropy"][0] < f["sample_entropy"][1] and f["higuchi_fd"][0] < 1.2 < 1.8 < f["higuchi_fd"][1]
+    assert f["lziv"][0] < f["lziv"][1] and f["dfa_alpha"][1] == pytest.approx(0.5, abs=0.15)
+    s = research.spectral_figures(x, 64, "ppg")
+    assert s["dom_freq"][0] == pytest.approx(1, abs=0.1) and s["spec_entropy"][0] < s["spec_entropy"][1]
+    assert all(np.isfinite(v).all() for v in research.channels(x, 64.0).values())
+    for kind in ("burst", "clip", "dropout", "motion", "powerline"):
+        assert not np.allclose(research.inject(x[0], kind), x[0])
+
+
+def test_usability_rows():
+    from signalyard.functions import usability
+
+    rng = np.random.default_rng(1)
+    drift = np.cumsum(rng.normal(size=2560))
+    rows = {r["band"]: r for r in usability.eeg_bands(drift + 40 * wave(10, 256, 10), 256)}
+    assert rows["alpha"]["usable"] and max(rows.values(), key=lambda r: r["snr_db"])["band"] == "alpha"
+    assert not any(r["usable"] for r in usability.eeg_bands(np.zeros(2560), 256))
+    eda = 5 + 0.3 * np.sin(2 * np.pi * 0.1 * np.arange(480) / 8)
+    assert [r["usable"] for r in usability.eda_components(eda, 8)] == [True, True]
+    assert [r["usable"] for r in usability.eda_components(np.full(480, 5.0), 8)] == [False, False]
+
+
+def test_saliency_and_shapley():
+    from signalyard.operators import explain
+
+    x = 0.1 * np.sin(np.arange(300))
+    x[140:160] += 3
+    grade = lambda w: np.stack([s := np.clip(w.std(1), 0, 1), 0 * s, 0 * s, 1 - s], 1)
+    found = explain.saliency(x, grade, 10.0)
+    assert 120 <= found.argmax() <= 180 and found[:60].max() < found.max()
+    value = lambda f: f[:, 0] * f[:, 1] + 2 * f[:, 2]
+    phi = explain.group_shapley(value, np.array([1.0, 1.0, 1.0]), np.zeros(3), [[0], [1], [2]])
+    assert phi == pytest.approx([0.5, 0.5, 2.0])

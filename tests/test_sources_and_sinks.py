@@ -41,6 +41,58 @@ def test_wfdb_by_ranges(spark, tmp_path, fmt):
     assert [r["channel"] for r in names] == ["II", "II#2"]
 
 
+@pytest.mark.parametrize("size", [2, 3])
+def test_edf_and_bdf_by_records(spark, tmp_path, size):
+    fast, slow = np.arange(40) * 5 - 100, np.arange(8) * -7
+    records = [np.r_[fast[10 * k : 10 * k + 10], slow[2 * k : 2 * k + 2]] for k in range(4)]
+    raw = b"".join(int(v).to_bytes(size, "little", signed=True) for r in records for v in r)
+    pad = lambda *items: "".join(str(v).ljust(w) for v, w in items)
+    top = pad(("0", 8), ("p", 80), ("r", 80), ("01.01.24", 8), ("00.00.00", 8), (256 * 3, 8), ("", 44), (4, 8), (2, 8), (2, 4))
+    fields = [("EEG", "EDA"), ("", ""), ("uV", "uS"), (-100, 0), (100, 10), (-1000, 0), (1000, 100), ("", ""), (10, 2), ("", "")]
+    signals = "".join(str(v).ljust(w) for values, (_, w) in zip(fields, formats.EDF_FIELDS, strict=True) for v in values)
+    head = (top + signals).encode("latin-1")
+    (tmp_path / "r.edf").write_bytes((b"\xff" if size == 3 else head[:1]) + head[1:] + raw)
+    spark.dataSource.register(formats.Edf)
+    rows = spark.read.format("edf").option("block", 3).load(str(tmp_path / "r.edf"))
+    assert [r["x"] for r in rows.filter("channel = 'EEG'").orderBy("n").collect()] == pytest.approx((fast / 10).tolist())
+    assert [r["x"] for r in rows.filter("channel = 'EDA'").orderBy("n").collect()] == pytest.approx((slow / 10).tolist())
+    assert formats.open_recording(spark, str(tmp_path / "r.edf"), "edf").count() == 48
+
+
+def test_samples_and_levels_round_trip(spark, tmp_path):
+    from signalyard.operators import pyramid
+    from signalyard.sources import store
+
+    rows = spark.range(300).select(F.lit(1).alias("rec"), F.lit("II").alias("channel"), F.col("id").alias("n"), (F.col("id") / 2).alias("x"))
+    store.write_samples(rows, str(tmp_path / "s"), block=100)
+    assert sorted(r["n"] for r in store.read_samples(spark, str(tmp_path / "s"), 1, ["II"], 50, 60).collect()) == list(range(50, 60))
+    store.write_levels(pyramid.pyramid(rows), str(tmp_path / "l"))
+    assert store.read_level(spark, str(tmp_path / "l"), 64).count() == 5
+
+
+def test_cards_that_break_the_contract_are_refused(tmp_path):
+    from signalyard.functions import cards
+
+    good = {"modality": "ecg", "L_m": 10, "fs_hz": 250, "class_order": ["Q0", "Q1"], "normalization": {"method": "zscore"}, "training_data_hash": "x", "model_version": "1"}
+    heads = [{"name": "grade", "output_name": "q", "kind": "ordinal", "class_order": ["Q0", "Q1"]}, {"name": "art", "output_name": "a", "kind": "multilabel", "class_order": ["clean"], "threshold": 0.5}]
+    path = tmp_path / "c.json"
+
+    def load(**change):
+        path.write_text(json.dumps({k: v for k, v in {**good, **change}.items() if v is not None}))
+        return cards.load(path)
+
+    assert load().heads[0].kind == "ordinal" and len(load(heads=heads).heads) == 2
+    (tmp_path / "m.onnx").write_bytes(b"m")
+    cards.verify_model(tmp_path / "m.onnx", load())
+    with pytest.raises(cards.CardError):
+        cards.verify_model(tmp_path / "m.onnx", load(onnx_sha256="0" * 64))
+    with pytest.raises(cards.CardError):
+        cards.verify_features(load(feature_preprocessing={"feature_names": ["a", "b"]}), ["b", "a"])
+    for bad in ({"L_m": None}, {"L_m": 0}, {"class_order": []}, {"normalization": {"method": "x"}}, {"heads": []}, {"heads": [heads[1]]}, {"heads": [heads[0], heads[0]]}, {"heads": [{**heads[0], "activation": "sigmoid"}]}, {"heads": [heads[0], {**heads[1], "threshold": 2}]}):
+        with pytest.raises(cards.CardError):
+            load(**bad)
+
+
 def test_degenerate_headers_are_refused():
     with pytest.raises(ValueError):
         formats.read_header("r 1 250 1\nr.dat 16")
