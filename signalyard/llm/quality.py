@@ -21,16 +21,17 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 SYMBOLS = b"#*$%&|<>"
-_NAVIGATION = re.compile(
-    r"^(?:home|menu|login|log in|sign in|sign up|register|search|next|previous|prev|back|contact|contact us|about|about us"
-    r"|sitemap|share|share this|tweet|print|read more|more|skip to (?:main )?content|top|back to top)[\s.!>»]*$",
-    re.I,
+#: Lines that are a label to click on.
+NAVIGATION = (
+    r"(?i)^(?:home|menu|login|log in|sign in|sign up|register|search|next|previous|prev|back|contact|contact us|about|about us"
+    r"|sitemap|share|share this|tweet|print|read more|more|skip to (?:main )?content|top|back to top)[\s.!>»]*$"
 )
-_BOILERPLATE = re.compile(
-    r"all rights reserved|\bcookies?\b.{0,40}\b(?:policy|accept|settings|use)\b|\bterms of (?:use|service)\b|\bprivacy policy\b"
-    r"|enable javascript|javascript is (?:disabled|required)|lorem ipsum|click here|subscribe to our|\bcopyright (?:\(c\)|©|\d{4})",
-    re.I,
+#: What pages say about themselves.
+BOILERPLATE = (
+    r"(?i)all rights reserved|\bcookies?\b.{0,40}\b(?:policy|accept|settings|use)\b|\bterms of (?:use|service)\b|\bprivacy policy\b"
+    r"|enable javascript|javascript is (?:disabled|required)|lorem ipsum|click here|subscribe to our|\bcopyright (?:\(c\)|©|[0-9]{4})"
 )
+_NAVIGATION, _BOILERPLATE = re.compile(NAVIGATION), re.compile(BOILERPLATE)
 
 
 @dataclass(frozen=True)

@@ -90,5 +90,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sketch": op10_sketch,
 }
 
+#: Every string of 200 bytes (400 hex digits) of every text, counted; stretches that repeated ones cover; what is left.
+REPEATS = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY s) AS k FROM w) WHERE k > 1),
+g AS (SELECT *, sum(CASE WHEN i <= p + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM r)),
+s AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY 1, 2),
+k AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a) AS gone, count(*) AS spans FROM s GROUP BY 1),
+j AS (SELECT d.doc_id, h, n, coalesce(gone, 0) AS gone, coalesce(spans, 0) AS spans, list_concat(coalesce(starts, []::BIGINT[]), [n]) AS starts, list_concat([0::BIGINT], coalesce(ends, []::BIGINT[])) AS ends FROM d LEFT JOIN k ON k.doc_id = d.doc_id)
+SELECT doc_id, n AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(array_to_string(list_transform(range(1, len(starts) + 1), lambda x: substr(h, 2 * ends[x] + 1, 2 * (starts[x] - ends[x]))), ''))) AS kept_sha256 FROM j"""
+
+#: Words, windows of five words, lines and their rules, as quality.py has them.
+QUALITY = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM d),
+win AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 4], ' ')) AS s FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS k FROM win) WHERE k > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + o) AS n FROM rep, range(0, 5) r(o) GROUP BY 1),
+li AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+lt AS (SELECT doc_id, line, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS body FROM li),
+lc AS (SELECT *, length(body) AS len, length(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) AS sym, length(regexp_replace(body, '[^|»›]', '', 'g')) AS bars FROM lt),
+lf AS (SELECT *, body <> '' AND ((bars >= 4 AND len / (bars + 1.0) <= 14) OR sym > 0.25 * len OR NOT regexp_matches(body, '[\\p{L}\\p{N}]')
+  OR (len <= 24 AND regexp_matches(body, 'NAVIGATION')) OR (len <= 400 AND regexp_matches(body, 'BOILERPLATE'))) AS bad FROM lc),
+lost AS (SELECT doc_id, sum(CASE WHEN bad THEN length(regexp_replace(line, '[\\x20\\x09-\\x0D]', '', 'g')) ELSE 0 END) AS gone FROM lf GROUP BY 1),
+dup AS (SELECT doc_id, sum(k - 1) AS n FROM (SELECT doc_id, line, count(*) AS k FROM li WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1, 2) GROUP BY 1),
+a AS (SELECT w.doc_id, len(words) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, coalesce(lost.gone, 0) AS gone
+  FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id LEFT JOIN dup ON dup.doc_id = w.doc_id LEFT JOIN lost ON lost.doc_id = w.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND gone <= 0.5 * word_chars AS kept FROM b
+""".replace("NAVIGATION", quality.NAVIGATION).replace("BOILERPLATE", quality.BOILERPLATE)
+
 #: SQL where it can express an operator; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_suffix_dedup": REPEATS, "op8_quality": QUALITY}
