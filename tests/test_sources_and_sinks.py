@@ -186,3 +186,24 @@ def test_context_gates_reviews(spark):
     here = spark.createDataFrame([("r", "II", 0, "m1", 1)], "recording string, channel string, channel_index int, model_version string, revision int")
     only = review.in_context(merged, here).collect()
     assert [(r["new_tier"], r["note"], r["orig"]) for r in only] == [("Q2", "ok", "Q1")]
+
+
+def test_streamed_envelope_and_late_rows(spark, tmp_path):
+    for k in range(3):
+        spark.range(50 * k, 50 * k + 50).select(F.lit(1).cast("long").alias("rec"), F.col("id").alias("n"), F.sin("id").alias("x")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    feed = spark.readStream.schema("rec long, n long, x double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream.stream_envelope(feed, 20).writeStream.outputMode("complete").format("memory").queryName("envelopes").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r["bucket"]: (r["lo"], r["hi"]) for r in spark.table("envelopes").collect()}
+    x = np.sin(np.arange(150))
+    assert len(got) == 8 and all(v == (pytest.approx(x[20 * b : 20 * b + 20].min()), pytest.approx(x[20 * b : 20 * b + 20].max())) for b, v in got.items())
+    rows = [("2024-01-01 00:05:00", "a"), ("2024-01-01 00:40:00", "a"), ("2024-01-01 03:00:00", "b")]
+    for k, part in enumerate((rows[:2], rows[2:], [("2024-01-01 00:10:00", "a"), ("2024-01-01 09:00:00", "b")])):
+        spark.createDataFrame(part, "ts string, event_type string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / f"e/{k}"))
+    for k in range(3):
+        spark.read.parquet(str(tmp_path / f"e/{k}")).coalesce(1).write.mode("append").parquet(str(tmp_path / "ev"))
+        feed = spark.readStream.schema("ts timestamp, event_type string").parquet(str(tmp_path / "ev"))
+        q = stream.late_counts(feed).writeStream.option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).format("parquet").start(str(tmp_path / "out"))
+        q.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(str(r["window"]["start"]), r["event_type"], r["n"]) for r in out} >= {("2024-01-01 00:00:00", "a", 2)}
