@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, written
-from .tokens import encoder
+from .tokens import encoder, without_collections
 
 
 @dataclass(frozen=True)
@@ -49,8 +49,9 @@ def pieces(docs: DataFrame, tokenizer: str, tokens: int = 2048, end_id: int = 0,
         enc = encoder(tokenizer)
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = enc.encode(text or "") + end
+            with without_collections():
+                streams = [enc.encode(text or "") + end for text in b.column(1).to_pylist()]
+            for doc, raw in zip(b.column(0).to_pylist(), streams, strict=True):
                 n = len(raw) // 4
                 first = n if n <= tokens else n % tokens or tokens
                 at = 0

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, running_sums, written
-from .tokens import encoder
+from .tokens import encoder, without_collections
 
 #: Ids that the rolling hash sees, and chunk lengths: least, mean beyond that, most.
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
@@ -82,7 +82,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, w
         enc, seen = encoder(tokenizer), set()
         names = ["key", "doc_id", "n", "hashes", "ids", "kind"]
         for b in batches:
-            streams = [enc.encode(text or "") + end for text in b.column(1).to_pylist()]
+            with without_collections():
+                streams = [enc.encode(text or "") + end for text in b.column(1).to_pylist()]
             sizes = [len(s) // 4 for s in streams]
             ids, ends = np.frombuffer(b"".join(streams), "<u4"), np.cumsum(sizes).tolist()
             packed, at = memoryview(ids.astype(stored).tobytes()), 0
