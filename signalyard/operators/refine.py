@@ -17,15 +17,13 @@ EPS = 1e-9
 
 def fine_badness(samples: DataFrame, width: int, excess: float = 3.0) -> DataFrame:
     """(rec, b, bad, nb): every whole bin of `width` samples of a recording, and how many there are."""
-    base = samples.groupBy("rec").agg(F.percentile("x", F.lit(0.5)).alias("med"), F.max(F.abs("x")).alias("top"), F.count("*").alias("len"))
-    rows = samples.join(base, "rec").withColumn("dev", F.abs(F.col("x") - F.col("med")))
-    scale = rows.groupBy("rec").agg(F.percentile("dev", F.lit(0.99)).alias("scale"))
-    nb = F.floor(F.col("len") / width)
-    rows = rows.withColumn("b", F.floor(F.col("n") / width)).withColumn("nb", nb).filter(F.col("b") < F.col("nb"))
+    whole = W.partitionBy("rec")
+    rows = samples.withColumn("med", F.percentile("x", F.lit(0.5)).over(whole)).withColumn("top", F.max(F.abs("x")).over(whole)).withColumn("nb", F.floor(F.count("*").over(whole) / width))
+    rows = rows.withColumn("dev", F.abs(F.col("x") - F.col("med")))
+    rows = rows.withColumn("scale", F.percentile("dev", F.lit(0.99)).over(whole)).withColumn("b", F.floor(F.col("n") / width)).filter(F.col("b") < F.col("nb"))
     rail = (F.abs("x") > 0.98 * F.when(F.col("top") == 0, 1e-9).otherwise(F.col("top"))).cast("double")
-    bins = rows.groupBy("rec", "b", "nb").agg(F.max("dev").alias("peak"), F.var_pop("x").alias("v"), F.avg(rail).alias("clip"))
-    usual = bins.groupBy("rec").agg((F.percentile("v", F.lit(0.5)) + 1e-12).alias("usual"))
-    bins = bins.join(scale, "rec").join(usual, "rec")
+    bins = rows.groupBy("rec", "b", "nb", "scale").agg(F.max("dev").alias("peak"), F.var_pop("x").alias("v"), F.avg(rail).alias("clip"))
+    bins = bins.withColumn("usual", F.percentile("v", F.lit(0.5)).over(whole) + 1e-12)
     high = F.col("peak") > excess * F.when(F.col("scale") == 0, 1e-9).otherwise(F.col("scale"))
     return bins.select("rec", "b", "nb", (high | (F.col("v") < 1e-3 * F.col("usual")) | (F.col("clip") > 0.30)).alias("bad"))
 
@@ -33,19 +31,20 @@ def fine_badness(samples: DataFrame, width: int, excess: float = 3.0) -> DataFra
 def worst_over(bins: DataFrame, intervals: DataFrame, width: float) -> DataFrame:
     """Bins with the tier and confidence of the worst interval that meets them (the earliest of equals)."""
     lo, hi = F.col("b") * width, (F.col("b") + 1) * width
-    shown = intervals.select("rec", "start_sec", "end_sec", "tier", "confidence")
-    hits = bins.join(shown, "rec", "left").filter(F.col("tier").isNull() | ((F.col("start_sec") < hi - EPS) & (F.col("end_sec") > lo + EPS)))
-    found = hits.groupBy("rec", "b").agg(F.min_by(F.struct("tier", "confidence"), F.struct(rank(F.col("tier")), "start_sec")).alias("w"))
-    return bins.join(found.select("rec", "b", "w.tier", "w.confidence"), ["rec", "b"], "left")
+    shown = intervals.select(F.col("rec").alias("_rec"), "start_sec", "end_sec", "tier", "confidence")
+    meets = (F.col("rec") == F.col("_rec")) & (F.col("start_sec") < hi - EPS) & (F.col("end_sec") > lo + EPS)
+    found = F.min_by(F.struct("tier", "confidence"), F.struct(rank(F.col("tier")), "start_sec")).alias("w")
+    return bins.join(shown, meets, "left").groupBy(*bins.columns).agg(found).select(*bins.columns, "w.tier", "w.confidence")
 
 
 def ceiling_over(bins: DataFrame, windows: DataFrame, length: float, width: float) -> DataFrame:
     """Bins with the tier and confidence of the best window that covers them whole (the earliest of equals)."""
     lo, hi = F.col("b") * width, (F.col("b") + 1) * width
-    shown = windows.select("rec", F.col("start_n").cast("double").alias("s"), F.col("tier").alias("t"), F.col("confidence").alias("c"))
-    hits = bins.join(shown, "rec").filter((F.col("s") <= lo + EPS) & (F.col("s") + length >= hi - EPS))
-    found = hits.groupBy("rec", "b").agg(F.max_by(F.struct("t", "c"), F.struct(rank(F.col("t")), -F.col("s"))).alias("w"))
-    return bins.join(found.select("rec", "b", F.col("w.t").alias("ceil_tier"), F.col("w.c").alias("ceil_conf")), ["rec", "b"], "left")
+    shown = windows.select(F.col("rec").alias("_rec"), F.col("start_n").cast("double").alias("s"), F.col("tier").alias("t"), F.col("confidence").alias("c"))
+    covers = (F.col("rec") == F.col("_rec")) & (F.col("s") <= lo + EPS) & (F.col("s") + length >= hi - EPS)
+    found = F.max_by(F.struct("t", "c"), F.struct(rank(F.col("t")), -F.col("s"))).alias("w")
+    out = bins.join(shown, covers, "left").groupBy(*bins.columns).agg(found)
+    return out.select(*bins.columns, F.col("w.t").alias("ceil_tier"), F.col("w.c").alias("ceil_conf"))
 
 
 def refine(intervals: DataFrame, windows: DataFrame, samples: DataFrame, length: float, width: int, margin: int = 1, excess: float = 3.0) -> DataFrame:
@@ -67,16 +66,18 @@ def refine(intervals: DataFrame, windows: DataFrame, samples: DataFrame, length:
     bins = bins.withColumn("model_tier", F.when(F.col("relaxed"), F.col("tier")).otherwise(""))
     bins = bins.withColumn("confidence", F.when(F.col("relaxed"), F.col("ceil_conf")).otherwise(F.col("confidence")))
     bins = bins.withColumn("tier", F.when(F.col("relaxed"), F.col("ceil_tier")).otherwise(F.col("tier")))
-    changed = bins.groupBy("rec").agg(F.max("relaxed").alias("changed"), (F.max("nb") * width).cast("double").alias("grid_end"))
-    runs = with_runs(bins.drop("run"), order="b", value=("tier", "model_tier")).filter(F.col("tier").isNotNull())
+    bins = bins.withColumn("changed", F.max("relaxed").over(W.partitionBy("rec")))
+    changed = bins.groupBy("rec").agg(F.first("changed").alias("changed"), (F.max("nb") * width).cast("double").alias("grid_end"))
+    runs = with_runs(bins.drop("run"), order="b", value=("tier", "model_tier")).filter(F.col("changed") & F.col("tier").isNotNull())
     fine = runs.groupBy("rec", "run").agg((F.min("b") * width).cast("double").alias("start_sec"), ((F.max("b") + 1) * width).cast("double").alias("end_sec"), F.first("tier").alias("tier"), F.first("model_tier").alias("model_tier"), F.avg("confidence").alias("confidence"))
-    # what lies past the last whole bin is shown as before; it goes on with the last interval if that is of its tier
-    rest = intervals.join(changed, "rec").filter(F.col("changed") & (F.col("end_sec") > F.greatest("start_sec", "grid_end") + EPS))
-    rest = rest.select("rec", F.greatest("start_sec", "grid_end").alias("start_sec"), "end_sec", "tier", F.lit("").alias("model_tier"), "confidence")
-    both = fine.join(changed.filter("changed").select("rec"), "rec").drop("run").unionByName(rest)
+    # what lies past the last whole bin is shown as before, and goes on with the last interval if that is of its tier;
+    # recordings without a change are shown as before altogether
+    start = F.when(F.col("changed"), F.greatest("start_sec", "grid_end")).otherwise(F.col("start_sec"))
+    rest = intervals.join(changed, "rec", "left").withColumn("changed", F.coalesce("changed", F.lit(False))).withColumn("start_sec", start)
+    rest = rest.filter(F.col("end_sec") > F.col("start_sec") + EPS).select("rec", "start_sec", "end_sec", "tier", F.lit("").alias("model_tier"), "confidence")
+    both = fine.drop("run").unionByName(rest)
     w = W.partitionBy("rec").orderBy("start_sec")
     joins = (F.lag("tier").over(w) == F.col("tier")) & (F.lag("model_tier").over(w) == "") & (F.col("model_tier") == "") & (F.abs(F.lag("end_sec").over(w) - F.col("start_sec")) < EPS)
     both = both.withColumn("new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(w))
     one = both.groupBy("rec", "run").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.first("tier").alias("tier"), F.first("model_tier").alias("model_tier"), F.min_by("confidence", "start_sec").alias("confidence"))
-    kept = intervals.join(changed.filter("changed").select("rec"), "rec", "left_anti").select("rec", "start_sec", "end_sec", "tier", F.lit("").alias("model_tier"), "confidence")
-    return one.drop("run").unionByName(kept)
+    return one.drop("run")
