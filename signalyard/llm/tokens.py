@@ -12,15 +12,13 @@ import gc
 import os
 import re
 from array import array
-from collections.abc import Iterator
-from contextlib import contextmanager
 from string import punctuation
 
 _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
 #: White space other than space and line feed, and what begins a special token's string.
 _ODD = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "<|")
 #: Pieces in a generation: a worker keeps two, and what it looks up in the older one moves to the younger.
-KEEP = 300_000
+KEEP = 450_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -88,18 +86,9 @@ class Encoder:
         return b"".join(out)
 
 
-@contextmanager
-def without_collections() -> Iterator[None]:
-    """For loops that make many lists and no cycles: the collector would walk all that the worker keeps, again and again."""
-    gc.disable()
-    try:
-        yield
-    finally:
-        gc.enable()
-
-
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file; it outlives a task."""
     if path not in _encoders:
+        gc.set_threshold(100_000, 50, 1000)  # what a worker keeps is free of cycles; walking it all often costs time
         _encoders[path] = Encoder(path)
     return _encoders[path]
