@@ -3,8 +3,9 @@
 A document is the set of its terms: words in lower case, and the first five and seven letters of longer words, so that
 unseen endings still count. Terms are hashed into 2^32 buckets; the score is the logistic of a bias, one weight per term, and
 the dot products of the factors of all pairs of terms. The pairs are what a linear model lacks: an insult beside the
-mention of a group counts for more than the two by themselves. Terms that too few training documents hold are left out,
-and those that hardly differ between the classes, so long clean texts do not add up.
+mention of a group counts for more than the two by themselves. Terms have weights if enough training documents hold them and
+they differ between the classes, by themselves or beside another term: a pair of terms whose documents are toxic more (or
+less) often than either term and the sum of both tell. The others are left out, so long clean texts do not add up.
 
 The model is fitted on at most `sample` labelled documents, by hash order of their ids; that bounds
 what the driver holds, as only terms of these are weighed. Whole texts are scored. Null or empty text: the bias alone. Null labels do not train. Null ids:
@@ -65,7 +66,53 @@ def hashed(raw: bytes | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh32_intdigest, found), np.uint32, len(found))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, least: int = 4, apart: float = 5.5, pure: float = 0.7, epochs: int = 100, batch: int = 256, rate: float = 0.5, decay: float = 1e-5, seed: int = 5) -> Machine:
+def _deviance(k: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Root of the deviance of k of n at the rate p, which unlike a z-score does not swell where few are expected."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        yes, no = np.where(k > 0, k * np.log(k / (n * p)), 0), np.where(n > k, (n - k) * np.log((n - k) / (n * (1 - p))), 0)
+    return np.sqrt(np.maximum(2 * (yes + no), 0))
+
+
+def paired(rows: list[np.ndarray], labels: np.ndarray, found: np.ndarray, seen: np.ndarray, in_pos: np.ndarray, together: float, tile: int = 512) -> np.ndarray:
+    """Terms, of `found`, that differ between the classes beside another term, whatever they do alone.
+
+    The toxic share of the documents with both is held against the shares of either and the sum of their log odds; the
+    deviance from the nearest of these counts. Terms with too few documents for a deviance of `together` are not counted.
+    """
+    base = labels.mean()
+    some, others = together**2 / (2 * np.log(1 / base)), together**2 / (2 * np.log(1 / (1 - base)))
+    chosen = np.flatnonzero((in_pos >= some) | (seen - in_pos >= others))
+    ids, n, out = found[chosen], len(chosen), np.zeros(len(found), bool)
+    if n < 2:
+        return out
+    held = Machine(0.0, ids, np.zeros(0), np.zeros((0, 0)))
+    placed = [np.unique(held.places(r)) for r in rows]
+    share = (in_pos[chosen] + base) / (seen[chosen] + 1)
+    odds, best = np.log(share / (1 - share)), np.zeros(n)
+    for at in range(0, n, tile):
+        wide = min(tile, n - at)
+        counts = {1: np.zeros((wide, n - at), np.float32), 0: np.zeros((wide, n - at), np.float32)}
+        for kind, count in counts.items():
+            own = np.flatnonzero(labels == kind)
+            for start in range(0, len(own), 1024):
+                has = np.zeros((min(1024, len(own) - start), n - at), np.float32)
+                for i, d in enumerate(own[start : start + 1024]):
+                    has[i, placed[d][np.searchsorted(placed[d], at) :] - at] = 1
+                count += has[:, :wide].T @ has
+        for i in range(wide):
+            k, both = counts[1][i, i + 1 :].astype(float), (counts[0][i, i + 1 :] + counts[1][i, i + 1 :]).astype(float)
+            j = np.flatnonzero(both >= min(some, others))
+            k, both, j = k[j], both[j], j + at + i + 1
+            told = np.stack([np.full(len(j), share[at + i]), share[j], 1 / (1 + np.exp(np.log(base / (1 - base)) - odds[at + i] - odds[j]))])
+            high, low = told.max(0), told.min(0)
+            gap = np.where(k > both * high, _deviance(k, both, high), np.where(k < both * low, _deviance(k, both, low), 0))
+            best[j] = np.maximum(best[j], gap)
+            best[at + i] = max(best[at + i], gap.max(initial=0))
+    out[chosen[best >= together]] = True
+    return out
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, least: int = 4, apart: float = 5.5, pure: float = 0.0, together: float = 6.5, epochs: int = 100, batch: int = 256, rate: float = 0.5, decay: float = 1e-5, seed: int = 5) -> Machine:
     """AdaGrad on the logistic loss. Classes weigh as they occur, so that scores are probabilities."""
     y, n = labels.astype(float), len(labels)
     pos = int(y.sum())
@@ -77,7 +124,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, rank: int = 4, least: int =
     in_pos[np.searchsorted(found, some)] = often
     base = pos / n
     z = (in_pos - seen * base) / np.sqrt(seen * base * (1 - base))
-    keep = found[(seen >= least) & (np.abs(z) >= apart) & (np.maximum(in_pos, seen - in_pos) >= pure * seen)]
+    alone = (np.abs(z) >= apart) & (np.maximum(in_pos, seen - in_pos) >= pure * seen)
+    keep = found[(seen >= least) & (alone | paired(rows, labels, found, seen, in_pos, together))]
     machine = Machine(0.0, keep, np.zeros(0), np.zeros((0, rank)))
     placed = [np.unique(machine.places(r)) for r in rows]
     owner, flat = np.repeat(np.arange(n), [len(p) for p in placed]), np.concatenate(placed)

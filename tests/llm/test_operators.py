@@ -193,6 +193,21 @@ def test_toxicity_learns_pairs_and_holds_out(spark):
     assert toxicity.score(fixtures.empty(spark), model).count() == 0
 
 
+@pytest.mark.parametrize("told", ["both", "one"])
+def test_toxicity_learns_pairs_with_the_parameters_of_the_query(told):
+    rng = np.random.default_rng(0)
+    texts, y = [], []
+    for _ in range(2000):
+        bad, group = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join([*(f"word{k}" for k in rng.integers(0, 60, 12)), *["insultish"] * bad, *["groupname"] * group]).encode())
+        y.append(int(bad and group if told == "both" else bad != group))  # "one": neither word tells anything alone
+    rows, y = [toxicity.hashed(x) for x in texts], np.array(y)
+    model = toxicity.fit(rows[:1500], y[:1500])
+    assert {xxhash.xxh32_intdigest(x) for x in ("insultish", "groupname")} <= set(model.keep.tolist())
+    got = np.array([model.margin(r) for r in rows[1500:]]) >= np.log(0.3 / 0.7)
+    assert (got == y[1500:]).mean() >= 0.97
+
+
 # 5: personal data
 HARD = ["a@b.c_d@e.f x@y.z.w, ..@a.b", "1.2.3.4.5.6.7.8 1.2.3.256 1.2.3.4.300", "4111 1111 1111 1111 and 4111-1111-1111-1112 5555555555554444", "+1 (212) 555-1234. +49 30 1234567-  +1", "call 212-555-1234 or (212) 555-9999", "joe [at] example [dot] com é+44 20 7946 0958", "", "a" * 3000, "1" * 3000, "1 " * 900, "+" + "1 " * 900, "a.b@" * 300, "é@x.y 0.0.0.0", None, "1.1." * 200, "😀 a@b.co 1.2.3.4"]
 
