@@ -87,12 +87,11 @@ def judge(raw: bytes | None, rules: LineRules) -> tuple:
     word_chars = len(text) - sum(map(text.count, "\t\n\x0b\x0c\r "))
     symbols = sum(map(text.count, SYMBOLS.decode()))
     seen, dup, lines, out, lost = set(), 0, text.split("\n"), [], 0
-    suspicious = symbols > 0 or _BOILERPLATE.search(text) is not None
     for line in lines:
         if line.isascii() and line.split() or line.strip("\t\n\x0b\x0c\r "):
             dup += line in seen
             seen.add(line)
-        if (suspicious or len(line) <= 26 or not any(map(str.isalnum, line))) and line_fails(line, rules):
+        if line_fails(line, rules):
             lost += len(line) - sum(map(line.count, "\t\x0b\x0c\r "))
         else:
             out.append(line)

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from signalyard.llm import common, mixing, packing, pii, quality, simhash, sketch, suffix_dedup, token_store, toxicity, url_rules
+from signalyard.llm import common, mixing, packing, pii, quality, queries, simhash, sketch, suffix_dedup, token_store, toxicity, url_rules
 from signalyard.llm.tokens import Encoder
 
 from . import fixtures
@@ -430,6 +430,26 @@ def test_quality_counts(spark):
     assert not got[10_003]["kept"]
 
 
+PROSE = "These are good words that make a whole sentence with sense, and one more of them follows here."
+
+
+@pytest.mark.parametrize("line", ["Home » Products » Shoes » Men » Sale", "Home › Products › Shoes › Men › Sale", " " * 30 + "Home", "Home" + " " * 30, "Home"])
+def test_a_line_is_judged_by_itself(line):
+    for other in (PROSE, PROSE + " 5 %"):
+        assert quality.judge(f"{line}\n{other}".encode(), quality.LineRules())[-1] == other
+
+
+def test_navigation_as_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, "\n".join([f"Home{i} » Goods{i} » Shoes{i} » Men{i} » Sale{i}" for i in range(k)] + [PROSE])) for k in (0, 1, 4, 9)]
+    rows += [(100 + k, "\n".join([" " * 30 + x for x in ("Home", "Menu", "Login")[:k]] + [PROSE])) for k in (1, 3)]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    got = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False).collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(queries.ORACLES["op8_quality"]).fetchall())
+
+
 def test_clean_documents_keep_prose(spark):
     docs = fixtures.repeated_and_null(spark)
     out = quality.clean_documents(docs)
