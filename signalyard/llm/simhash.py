@@ -25,7 +25,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import drop_written, prepare, written
 
@@ -51,17 +50,19 @@ def fingerprint(raw: bytes | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint as a signed 64-bit integer."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, hashed: bool = False) -> DataFrame:
+    """(id, fp): the fingerprint as a signed 64-bit integer; also text_hash if asked for."""
     prepare(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.array([fingerprint(x, width) for x in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found)], names=[id_col, "fp"])
+            rest = [b.column(2)] if hashed else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found), *rest], names=[id_col, "fp", *["text_hash"] * hashed])
 
-    return docs.select(id_col, F.col(text_col).cast("binary").alias("raw")).mapInArrow(run, f"{id_col} {kind}, fp long")
+    raw = F.col(text_col).cast("binary")
+    return docs.select(id_col, raw.alias("raw"), *[F.xxhash64(raw)] * hashed).mapInArrow(run, f"{id_col} {kind}, fp long" + ", text_hash long" * hashed)
 
 
 def popcounts(fp: Column, segment: int = 2) -> list[Column]:
@@ -169,9 +170,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
-    """(id, fp, component_id): documents of a chain of links share the smallest id of the chain."""
-    marked = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
+def _grouped(marked: DataFrame, id_col: str, distance: int) -> DataFrame:
+    """The rows of `marked`, which have id and fp, with component (a fingerprint of it) and component_id."""
     nodes = written(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "fingerprint-nodes")
     found = written(links(nodes, distance), "fingerprint-links")
     parts = components(found)
@@ -179,19 +179,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = written(parts.union(parts.select(F.col("component").alias("node"), "component").distinct()), "parts")
     named = parts.join(nodes, F.col("node") == F.col("fp"))
     roots = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    moved = written(named.join(roots, "component").select("node", "component_id"), "moved")
-    whole = nodes.join(moved, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(whole, F.col("fp") == F.col("_fp")).select(id_col, "fp", "component_id")
+    moved = written(named.join(roots, "component").select("node", "component", "component_id"), "moved")
+    whole = nodes.join(moved, F.col("fp") == F.col("node"), "left")
+    whole = whole.select(F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first").alias("component_id"))
+    return marked.join(whole, F.col("fp") == F.col("_fp")).drop("_fp")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3) -> DataFrame:
+    """(id, fp, component_id): documents of a chain of links share the smallest id of the chain."""
+    marked = written(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    return _grouped(marked, id_col, distance).select(id_col, "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3) -> DataFrame:
-    """The documents without near duplicates: one of each component stays, the one with the smallest id; of repeated rows of that id, one."""
-    found = written(near_duplicates(docs, id_col, text_col, distance=distance), "near-duplicates")
-    keep = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n"))
+    """The documents without near duplicates: of each component one row stays, whatever its ids: that with the smallest id,
+    null being last; of repeated rows of that id, one. Rows are told apart by id and hash of the text."""
+    marked = written(fingerprints(docs, id_col, text_col, hashed=True), "fingerprints")
+    found = _grouped(marked, id_col, distance).groupBy("component", id_col, "text_hash").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash"), F.col("n"))).alias("best")
+    keep = found.groupBy("component").agg(best).select(F.col("best.id").alias("__id"), F.col("best.hash").alias("__hash"), F.col("best.n").alias("__n"))
     keep = written(keep, "kept")
     # ids grow with the documents: they are shuffled, never broadcast, and the join builds on them, not on the texts
-    out, names = docs.join(keep.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id"))), docs.columns
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("binary")) == F.col("__hash"))
+    out, names = docs.join(keep.hint("shuffle_hash"), same), docs.columns
     if keep.filter("__n > 1").isEmpty():
         return out.select(*names)
-    first = F.row_number().over(W.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))
-    return out.select(*names).withColumn("__first", first).filter("__first = 1").select(*names)
+    return out.dropDuplicates(["__id", "__hash"]).select(*names)

@@ -403,6 +403,15 @@ def test_one_of_each_group_stays(spark):
     assert simhash.one_of_each(fixtures.empty(spark)).count() == 0
 
 
+def test_one_of_each_component_stays_whatever_its_ids(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 5000, 60)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[2]), (8, texts[3]), (8, texts[4]), (9, texts[4]), (3, texts[5]), (3, texts[5]), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "x", "y", "z") for i, t in rows], fixtures.SCHEMA)
+    got = sorted(((r["doc_id"], r["text"] or "") for r in simhash.one_of_each(docs).collect()), key=str)
+    assert got == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (8, texts[3]), (8, texts[4]), (3, texts[5]), (None, "")], key=str)
+
+
 # 8: quality
 def reference_counts(text):
     words = SPACE.findall(text or "")
