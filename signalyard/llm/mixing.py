@@ -98,11 +98,14 @@ def mixed_sequence(plan: DataFrame, id_col: str = "doc_id", max_repeats: int = 3
 
 
 def taken_words(plan: DataFrame, id_col: str = "doc_id", max_repeats: int = 3) -> DataFrame:
-    """The plan with `taken`: the words of each document in the mix, over all passes; 0 for those that it leaves out."""
+    """The plan with `taken`: the words of each document in the mix, over all passes; 0 for those that it leaves out.
+
+    Rows with words differ in `before`, so each is a group of its own; rows without stay as they are.
+    """
     names = plan.columns
     none = plan.withColumn("take", F.lit(0).cast("long"))
-    both = none.unionByName(mixed_sequence(plan, id_col, max_repeats).select(*names, "take"))
-    return both.groupBy(*names).agg(F.sum("take").alias("taken"))
+    both = none.filter("size > 0").unionByName(mixed_sequence(plan, id_col, max_repeats).select(*names, "take"))
+    return both.groupBy(*names).agg(F.sum("take").alias("taken")).unionByName(none.filter("size = 0").withColumnRenamed("take", "taken"))
 
 
 def sized(docs: DataFrame) -> DataFrame:

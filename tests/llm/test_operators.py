@@ -68,6 +68,14 @@ def test_mix_on_repeated_null_and_empty(spark):
     assert mixing.taken_words(common.written(mixing.mix_sources(mixing.sized(fixtures.empty(spark))), "t")).count() == 0
 
 
+def test_mix_gives_every_repeated_row_without_words(spark):
+    odd = [(7, "", "en", "s1", 0, "x", "y", "z")] * 3 + [(None, None, "en", "s1", None, "x", "y", "z")] * 2 + [(8, "three words here", "en", "s1", 16, "x", "y", "z")] * 2
+    docs = fixtures.frame(spark, odd)
+    rows = mixing.taken_words(common.written(mixing.mix_sources(mixing.sized(docs)), "t")).collect()
+    want = collections.Counter(r["doc_id"] for r in docs.collect())
+    assert collections.Counter(r["doc_id"] for r in rows) == want and want[7] == 3
+
+
 # 2: URL rules
 def reference_rule(url):
     m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
