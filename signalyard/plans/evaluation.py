@@ -153,7 +153,7 @@ for _method in ("t", "percentile", "bca"):
 
     @query(f"cluster_interval_{_method}")
     def _interval(spark, sf, method=_method):
-        return rounded(statistics.cluster_interval(binary(spark, sf), "score", "cluster", method, n_boot=400))
+        return rounded(statistics.cluster_interval(binary(spark, sf), "score", "cluster", method))
 
 
 SPANS = SAMPLES + """,

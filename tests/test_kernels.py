@@ -178,3 +178,13 @@ def test_saliency_and_shapley():
     value = lambda f: f[:, 0] * f[:, 1] + 2 * f[:, 2]
     phi = explain.group_shapley(value, np.array([1.0, 1.0, 1.0]), np.zeros(3), [[0], [1], [2]])
     assert phi == pytest.approx([0.5, 0.5, 2.0])
+
+
+@pytest.mark.parametrize("method", ["percentile", "bca"])
+def test_interval_queries_draw_2000_replicates(spark, sf, monkeypatch, method):
+    import __spark_entry__
+
+    drawn, real = [], statistics.replicates
+    monkeypatch.setattr(statistics, "replicates", lambda rows, value, cluster, n, seed: drawn.append(n) or real(rows, value, cluster, n, seed))
+    row = __spark_entry__.queries()[f"cluster_interval_{method}"](spark, sf).first()
+    assert drawn == [2000] and row["lo"] <= row["mean"] <= row["hi"]
