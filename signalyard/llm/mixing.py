@@ -3,8 +3,9 @@
 Every source has a target in words. Its documents are shuffled by a keyed hash and served one after the other, again
 from the start if the target exceeds the source (up to `max_repeats` times). A served document finishes at virtual time
 (words of its source up to its end) / (target of its source); all sources reach their targets at virtual time 1. The
-mix is all services in order of finish time, over all sources, cut at the total budget; the one document of a source
-that is being served at the cut is taken in part.
+mix is all services in order of finish time, over all sources. Each source is cut at its own quota of whole words, and
+the quotas add up to the budget, so the order gives positions but does not decide what is taken; the one document of a
+source that is being served at its quota is taken in part.
 
 Null or empty text: size 0, never served. Null source: a source of its own, last. Null id: served as any other.
 Repeated ids or rows: each row is served by itself; equal shuffle keys go by id. Empty table: empty result.
@@ -79,8 +80,8 @@ def mixed_sequence(plan: DataFrame, id_col: str = "doc_id", max_repeats: int = 3
     """The mix from a plan: its columns, pass, finish (virtual), take (words), position (words of the mix before it).
 
     Rows are range-sorted by finish time: each slot of virtual time is ordered by itself, and sums per slot, of which
-    there are `slots`, give where it starts. Words per slot are even by construction, whatever the sources. The order is
-    cut where position reaches the budget.
+    there are `slots`, give where it starts. Words per slot are even by construction, whatever the sources. Takes are
+    cut at the quotas before, so the end of the order is the budget and drops no row.
     """
     rows = plan.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
     served = F.col("pass") * F.col("source_size") + F.col("before")
