@@ -2,17 +2,20 @@
 
 A fingerprint is mapped to the counts of set bits of its segments. The Manhattan distance of two such count vectors is
 at most the Hamming distance of the fingerprints, so pairs within `distance` bits are found by a grid range-join on
-count vectors and then verified on the bits. Grid cells are groups of blocks of the vector: of `distance` + 3 blocks,
-three at least must agree exactly, whichever bits differ, so the cells are the choices of three blocks.
+count vectors: pairs of a grid cell whose vectors are within `distance` are verified on the bits. Grid cells are groups
+of blocks of the vector: of `distance` + k blocks, k at least must agree exactly, whichever bits differ, so the cells are
+the choices of k blocks. k follows the number of fingerprints, so that a cell holds a few of them at every size.
 
-Only distinct fingerprints are compared; equal ones are linked by their smallest id. A cell is cut into tiles of about
-`tile` fingerprints, and each pair of tiles is a task of its own that returns links which span the components of its
-fingerprints, never all pairs. Components of the links come from alternating star contraction, with a table in the
-shared folder after each round.
+Only distinct fingerprints are compared; equal ones are linked by their smallest id. Fingerprints of cells with more than
+`limit` members go on to a finer grid (2 k + 1), where such a crowd falls apart; they share no other task with the rest,
+and a pair that meets in large cells only is still met there. Where the finest grid leaves large cells, these are cut
+into tiles, and pairs of tiles are tasks. A task returns links that span the components of its fingerprints, never all
+pairs. Components of the links come from alternating star contraction until nothing changes, with a table in the shared
+folder after each round.
 
 Null or empty text (no word): fingerprint zero, linked like any other. Fewer words than a shingle: one shingle of all.
-Null id: takes part; a component's id is its smallest id that is not null, else null. Repeated rows: linked as equal.
-Empty table: empty result. Other columns are not read.
+Very long texts: their shingles are hashed in blocks. Null id: takes part; a component's id is its smallest id that is
+not null, else null. Repeated rows: linked as equal. Empty table: empty result. Other columns are not read.
 """
 from __future__ import annotations
 
@@ -23,13 +26,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_written, prepare, written
+from .common import bucket_count, drop_written, prepare, written
 
 #: Shingles that are hashed at once; bounds memory for very long texts.
 SHINGLES = 65536
+#: Rows that a task compares at once, beyond the last whole cell.
+CHUNK = 65536
 
 
 def fingerprint(raw: bytes | None, width: int = 3, seed: int = 42) -> int:
@@ -65,22 +70,29 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, raw.alias("raw"), *[F.xxhash64(raw)] * hashed).mapInArrow(run, f"{id_col} {kind}, fp long" + ", text_hash long" * hashed)
 
 
-def popcounts(fp: Column, segment: int = 2) -> list[Column]:
-    """The embedding: counts of set bits of the fingerprint's segments, from the lowest bits on."""
-    return [F.bit_count(F.shiftrightunsigned(fp, k).bitwiseAND(F.lit((1 << min(segment, 64 - k)) - 1).cast("long"))) for k in range(0, 64, segment)]
+def grid(distance: int, agree: int, segment: int = 2) -> np.ndarray:
+    """Bits of a vector that make each grid cell: `agree` of distance + agree blocks of segments."""
+    n, blocks = 64 // segment, distance + agree
+    edges = [round(i * n / blocks) * segment for i in range(blocks + 1)]
+    parts = [(1 << edges[b + 1]) - (1 << edges[b]) for b in range(blocks)]
+    return np.array([sum(chosen) for chosen in combinations(parts, agree)], np.uint64)
 
 
-def _cells(distance: int, segment: int, agree: int = 3) -> list[list[int]]:
-    """Segments that make each grid cell: `agree` of distance + agree blocks of segments."""
-    n, blocks = -(-64 // segment), distance + agree
-    edges = [round(i * n / blocks) for i in range(blocks + 1)]
-    return [[k for b in chosen for k in range(edges[b], edges[b + 1])] for chosen in combinations(range(blocks), agree)]
+def embedded(fp: np.ndarray) -> np.ndarray:
+    """The count vectors of two-bit segments, each in one number: counts 0, 1, 2 as 00, 01, 11, so that the Manhattan
+    distance of two vectors is the number of bits in which their numbers differ."""
+    even = np.uint64(0x5555555555555555)
+    low, high = fp & even, (fp >> np.uint64(1)) & even
+    return low | high | ((low & high) << np.uint64(1))
 
 
-def _spanning(left: np.ndarray, right: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components which all links make, among `left` and, if given, between `left` and `right`."""
-    both = left if right is None else np.concatenate([left, right])
-    root = np.arange(len(both))
+def linked(fp: np.ndarray, unit: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components which all pairs within `distance` make inside units; `unit` must be sorted.
+
+    Rows are compared with the k-th after them, for all k at once: first the vectors, then the bits of what is left.
+    """
+    vector, root = embedded(fp), np.arange(len(fp))
+    here, k, out = np.arange(max(0, len(fp) - 1)), 1, []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -88,71 +100,107 @@ def _spanning(left: np.ndarray, right: np.ndarray | None, distance: int) -> tupl
             x = root[x]
         return x
 
-    a, b = [], []
-    for i in range(len(left)):
-        at = i + 1 if right is None else len(left)
-        for j in np.flatnonzero(np.bitwise_count(both[at:] ^ both[i]) <= distance) + at:
-            x, y = find(i), find(int(j))
+    while len(here):
+        here = here[unit[here] == unit[here + k]]
+        near = here[np.bitwise_count(vector[here] ^ vector[here + k]) <= distance]
+        near = near[np.bitwise_count(fp[near] ^ fp[near + k]) <= distance]
+        for i in near[root[near] != root[near + k]].tolist():
+            x, y = find(i), find(i + k)
             if x != y:
                 root[max(x, y)] = min(x, y)
-                a.append(i)
-                b.append(int(j))
-    return both[a], both[b]
+                out.append((i, i + k))
+        while (root[root] != root).any():
+            root = root[root]
+        k += 1
+        here = here[here + k < len(fp)]
+    pairs = np.array(out, np.int64).reshape(-1, 2)
+    return fp[pairs[:, 0]], fp[pairs[:, 1]]
+
+
+#: Blocks that agree on the finest grid.
+FINEST = 13
+
+
+def agreeing(n: int, distance: int = 3, members: int = 16) -> int:
+    """Blocks that must agree, two at least, so that a cell has about `members` of n fingerprints; counts of 64 bits hold
+    48 bits of information."""
+    return next((k for k in range(2, FINEST) if n / 2 ** (48 * k / (k + distance)) <= members), FINEST)
+
+
+def cells(nodes: DataFrame, distance: int, agree: int) -> DataFrame:
+    """(fp, unit): every fingerprint in each of its grid cells."""
+    masks = grid(distance, agree)
+    mixed = np.random.default_rng(agree).integers(1, 2**63, len(masks), dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            unit = (embedded(fp)[:, None] & masks) * np.uint64(0x9E3779B97F4A7C15)
+            unit = ((unit ^ (unit >> np.uint64(29))) + mixed) * np.uint64(0xBF58476D1CE4E5B9)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fp, len(masks)).view(np.int64)), pa.array((unit ^ (unit >> np.uint64(32))).ravel().view(np.int64))], names=["fp", "unit"])
+
+    return nodes.select("fp").repartition(bucket_count(nodes.sparkSession), "fp").mapInArrow(run, "fp long, unit long")
 
 
-def links(nodes: DataFrame, distance: int = 3, segment: int = 2, tile: int = 512) -> DataFrame:
-    """(a, b) of distinct fingerprints `fp`: verified links, enough of them to give the components of all links."""
+def links(nodes: DataFrame, distance: int = 3, limit: int = 512, agree: int | None = None) -> DataFrame:
+    """(a, b) of distinct fingerprints `fp`: verified links, enough of them to give the components of all links.
+
+    `nodes` should be a written table."""
     prepare(nodes.sparkSession)
-    counts = popcounts(F.col("fp"), segment)
-    cells = F.array(*(F.xxhash64(F.lit(i), *(counts[k] for k in ks)) for i, ks in enumerate(_cells(distance, segment))))
-    keyed = nodes.select("fp", F.explode(cells).alias("cell"))
-    sizes = keyed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = keyed.join(sizes.withColumnRenamed("cell", "_cell"), F.col("cell") == F.col("_cell")).drop("_cell")
-    dealt = dealt.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    dealt = dealt.withColumn("t", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
-    mine = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda o: F.struct(F.least("t", o).alias("i"), F.greatest("t", o).alias("j")))
-    dealt = dealt.withColumn("pair", F.explode(mine))
-    unit = F.xxhash64("cell", "pair.i", "pair.j")
-    dealt = dealt.select("fp", unit.alias("unit"), (F.col("pair.i") == F.col("pair.j")).alias("alone"), (F.col("t") == F.col("pair.i")).alias("first"))
+    agree, units = agree or agreeing(nodes.count(), distance), None
+    while True:
+        keyed = cells(nodes, distance, agree)
+        large = keyed.groupBy("unit").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select(F.col("unit").alias("_unit"), "n")
+        large = written(large, "cells-large")
+        if last := large.isEmpty():
+            found = keyed
+        else:
+            found = keyed.join(large, F.col("unit") == F.col("_unit"), "left_anti")
+            crowd = keyed.join(large, F.col("unit") == F.col("_unit"))
+            if last := agree >= FINEST:  # all pairs of tiles of what is left
+                tiles = F.ceil(F.col("n") / limit).cast("int")
+                own = F.pmod(F.xxhash64("fp"), tiles).cast("int")
+                pairs = F.transform(F.sequence(F.lit(0), tiles - 1), lambda o: F.xxhash64("unit", F.least(own, o), F.greatest(own, o)))
+                found = found.unionByName(crowd.select("fp", F.explode(pairs).alias("unit")))
+            else:
+                nodes = written(crowd.select("fp").distinct(), "fingerprints-crowded")
+        units = found if units is None else units.unionByName(found)
+        if last:
+            break
+        agree = min(FINEST, 2 * agree + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
         def emit(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            fp, unit = frame["fp"].to_numpy(np.int64).view(np.uint64), frame["unit"].to_numpy()
-            cut = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
-            out = []
-            for s, e in zip(cut, [*cut[1:], len(unit)], strict=True):
-                if e - s == 2:
-                    if int(fp[s] ^ fp[s + 1]).bit_count() <= distance:
-                        out.append((fp[s : s + 1], fp[s + 1 : s + 2]))
-                elif e - s > 2:
-                    alone, first = frame["alone"].iloc[s], frame["first"].to_numpy()[s:e]
-                    out.append(_spanning(fp[s:e] if alone else fp[s:e][first], None if alone else fp[s:e][~first], distance))
-            if out:
-                a, b = (np.concatenate(x).view(np.int64) for x in zip(*out, strict=True))
-                yield pd.DataFrame({"a": a, "b": b})
+            a, b = linked(frame["fp"].to_numpy(np.int64).view(np.uint64), frame["unit"].to_numpy(), distance)
+            if len(a):
+                yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
         for frame in batches:  # rows come sorted by unit; the last unit may go on in the next batch
+            if not len(frame):
+                continue
             held.append(frame)
-            if frame["unit"].iloc[0] != frame["unit"].iloc[-1] if len(frame) else False:
+            if sum(map(len, held)) >= CHUNK and frame["unit"].iloc[0] != frame["unit"].iloc[-1]:
                 whole = pd.concat(held)
-                last = whole["unit"] == whole["unit"].iloc[-1]
+                last = (whole["unit"] == whole["unit"].iloc[-1]).to_numpy()
                 yield from emit(whole[~last])
                 held = [whole[last]]
-        if held and sum(map(len, held)):
+        if held:
             yield from emit(pd.concat(held))
 
-    return dealt.repartition("unit").sortWithinPartitions("unit").mapInPandas(run, "a long, b long").distinct()
+    return units.repartition("unit").sortWithinPartitions("unit").mapInPandas(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) for the nodes of `edges` (a, b), component being the smallest node that can be reached.
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of `edges` (a, b) but the components themselves, which are the smallest nodes
+    that can be reached.
 
-    Alternating large-star and small-star: every round is joins and partial aggregates over the links that are left.
+    Alternating large-star and small-star, until a round changes nothing: every round is joins and partial aggregates
+    over the links that are left.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    for _ in range(rounds):
+    while True:
         # large star: neighbours above a node go to the smallest of its neighbours and itself
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -162,12 +210,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         then = written(small, "links")
-        one, two = ((x.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()) for x in (now, then))
+        stable = now.count() == then.count() and then.join(now, ["u", "v"], "left_anti").isEmpty()
         drop_written(now)
         now = then
-        if one == two:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        if stable:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
 def _grouped(marked: DataFrame, id_col: str, distance: int) -> DataFrame:
@@ -175,13 +222,17 @@ def _grouped(marked: DataFrame, id_col: str, distance: int) -> DataFrame:
     nodes = written(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "fingerprint-nodes")
     found = written(links(nodes, distance), "fingerprint-links")
     parts = components(found)
+    drop_written(found)
     # the smallest id of a component, from the smallest of each fingerprint
     parts = written(parts.union(parts.select(F.col("component").alias("node"), "component").distinct()), "parts")
     named = parts.join(nodes, F.col("node") == F.col("fp"))
     roots = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    moved = written(named.join(roots, "component").select("node", "component", "component_id"), "moved")
+    moved = named.join(roots, "component").select("node", "component", "component_id")
     whole = nodes.join(moved, F.col("fp") == F.col("node"), "left")
     whole = whole.select(F.col("fp").alias("_fp"), F.coalesce("component", "fp").alias("component"), F.coalesce("component_id", "first").alias("component_id"))
+    # written, so that the join below is of two plain sides: Spark splits a fingerprint that many rows have
+    whole = written(whole, "fingerprint-components")
+    drop_written(nodes), drop_written(parts)
     return marked.join(whole, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
@@ -200,8 +251,9 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keep = found.groupBy("component").agg(best).select(F.col("best.id").alias("__id"), F.col("best.hash").alias("__hash"), F.col("best.n").alias("__n"))
     keep = written(keep, "kept")
     # ids grow with the documents: they are shuffled, never broadcast, and the join builds on them, not on the texts
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("binary")) == F.col("__hash"))
-    out, names = docs.join(keep.hint("shuffle_hash"), same), docs.columns
-    if keep.filter("__n > 1").isEmpty():
-        return out.select(*names)
-    return out.dropDuplicates(["__id", "__hash"]).select(*names)
+    whole, names = docs.select(F.struct(*docs.columns).alias("doc")), docs.columns  # other columns may have any names
+    same = F.col(f"doc.`{id_col}`").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(f"doc.`{text_col}`").cast("binary")) == F.col("__hash"))
+    out = whole.join(keep.hint("shuffle_hash"), same)
+    if not keep.filter("__n > 1").isEmpty():
+        out = out.dropDuplicates(["__id", "__hash"])
+    return out.select(*(F.col(f"doc.`{c}`").alias(c) for c in names))
