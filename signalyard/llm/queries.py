@@ -63,7 +63,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sketch.with_next(load(spark, sf_dir, "documents"))
-    rows = rows.withColumn("edited", sketch.edited(F.col("text"), F.col("next_text")))
+    rows = rows.withColumn("edited", sketch.edited(F.col("text"), F.col("head")))
     rows = rows.withColumn("edited_sketch", sketch.sketch(F.col("edited")))
     own, other, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
     return rows.select(

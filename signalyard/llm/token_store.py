@@ -9,8 +9,9 @@ children a node) gives a root that a reader recomputes.
     folder/recipes              doc_id, n_tokens, hashes, rank, start (sorted by doc_id)
     folder/manifest             root, n_docs, n_tokens, width
 
-Null or empty text: the end id only. Null id: before all others. Repeated ids or rows: each has a recipe of its own.
-Empty table: no recipe, and the root of nothing. Other columns are not read.
+Null or empty text: the end id only. Null id: before all others. Repeated ids or rows: each has a recipe of its own, in
+order of the recipe's hash. Very long texts: their ids are held once by a task. A vocabulary whose ids do not fit the
+files' width is refused. Empty table: no recipe, and the root of nothing. Other columns are not read.
 """
 from __future__ import annotations
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, running_sums, written
-from .tokens import encoder
+from .tokens import encoder, vocabulary
 
 #: Ids that the rolling hash sees, and chunk lengths: least, mean beyond that, most.
 WINDOW, LEAST, MEAN, MOST = 16, 128, 512, 4096
@@ -76,6 +77,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, w
     spark = docs.sparkSession
     prepare(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
+    if (most := max(vocabulary(tokenizer), end_id + 1)) > 256**width:
+        raise ValueError(f"ids below {most} do not fit {width} bytes")
     end, stored = np.array([end_id], "<u4").tobytes(), f"<u{width}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,20 +112,19 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, w
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
-        for b in batches:
-            keep = []
-            for k, what in zip(b.column(0).to_pylist(), b.column(5).to_pylist(), strict=True):
-                keep.append(what == "recipe" or k not in seen)
-                if what == "chunk":
-                    seen.add(k)
+        last = None
+        for b in batches:  # rows come sorted by key: a chunk that follows its like goes
+            keys = b.column(0).to_pylist()
+            keep = [what == "recipe" or k != before for k, before, what in zip(keys, [last, *keys], b.column(5).to_pylist(), strict=False)]
+            last = keys[-1] if keys else last
             yield b.filter(pa.array(keep, pa.bool_()))
 
     schema = _STAGED.format(kind=kind)
-    staged = docs.select("doc_id", "text").mapInArrow(encode, schema).repartition("key").mapInArrow(once, schema)
+    staged = docs.select("doc_id", "text").mapInArrow(encode, schema).repartition("key").sortWithinPartitions("key").mapInArrow(once, schema)
     staged.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/store")
     recipes = _staged(spark, folder, kind).filter("kind = 'recipe'").select("doc_id", "n", "hashes", "key")
-    placed = running_sums(recipes.withColumn("one", F.lit(1)), "doc_id", {"start": "n", "rank": "one"}, ["key"], buckets)
+    spread = F.conv(F.hex(F.substring("key", 1, 6)), 16, 10).cast("double") / 2.0**48  # keys are hashes, even over their range
+    placed = running_sums(recipes.withColumn("one", F.lit(1)), "doc_id", {"start": "n", "rank": "one"}, ["key"], buckets, spread)
     placed.repartitionByRange(F.col("rank")).sortWithinPartitions("rank").select("doc_id", F.col("n").alias("n_tokens"), "hashes", "rank", "start").write.option("compression", "zstd").parquet(f"{folder}/recipes")
     root, n_docs, n_tokens = _root(read_recipes(spark, folder, kind))
     spark.createDataFrame([(root, n_docs, n_tokens, width)], "root string, n_docs long, n_tokens long, width int").coalesce(1).write.parquet(f"{folder}/manifest")

@@ -5,6 +5,8 @@ follows other characters, and between a letter or digit and the punctuation that
 ends a word. The pieces are encoded once each and
 kept, so that common words cost a look-up. Ids are the same as for the whole text; a text with white space other than
 space and line feed, or with the string of a special token, is encoded as a whole.
+
+Empty text: no ids; callers give null texts as empty. Very long texts: pieces keep the work and the memory linear.
 """
 from __future__ import annotations
 
@@ -18,7 +20,7 @@ _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
 #: White space other than space and line feed, and what begins a special token's string.
 _ODD = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "<|")
 #: Pieces in a generation: a worker keeps two, and what it looks up in the older one moves to the younger.
-KEEP = 450_000
+KEEP = 300_000
 _encoders: dict[str, Encoder] = {}
 
 
@@ -92,3 +94,10 @@ def encoder(path: str) -> Encoder:
         gc.set_threshold(100_000, 50, 1000)  # what a worker keeps is free of cycles; walking it all often costs time
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def vocabulary(path: str) -> int:
+    """One more than the greatest id that the tokenizer of a file gives."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
