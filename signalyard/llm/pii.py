@@ -1,16 +1,18 @@
 """Personal data by weak supervision.
 
 Base spans come from four strict patterns (email, ip, card, phone) with their checks. Wider patterns give candidates
-besides: matches that fail a check, numbers written like phones without a country code, spelled-out addresses. Labelers
-vote on every candidate (1 yes, 0 no, -1 abstains): the strict pattern with its check, a gazetteer (top-level domains,
-reserved networks, issuer prefixes, calling codes), the words before it, and its surroundings. Expectation-maximisation
-over the counts of vote patterns estimates each labeler's reliability per kind, and a logistic span classifier is
-trained on its posteriors, with the shape of the candidate as further features. Base spans stay; of the other
-candidates, those that the classifier accepts are added.
-
-Null or empty text: no span. Null id: its row is kept. Repeated rows: each gets its own result. Ties in start go by kind
-as listed. Empty table: empty result and a model of priors. Other columns are not read. All of it is DataFrame
-expressions; what reaches the driver is one count per pattern of votes and shapes, of which there are a few hundred.
+besides: matches that fail a check, numbers written like phones without a country code, spelled-out addresses. What
+overlaps a base span is no candidate. Labelers vote on every candidate (1 yes, 0 no, -1 abstains): the strict pattern with
+its check, a gazetteer (top-level domains, reserved networks, issuer prefixes, calling codes), the words on either side in
+four languages, the characters beside it, and the company of base spans in the text. Expectation-maximisation over the
+counts of vote patterns estimates each labeler's reliability per kind, and a logistic span classifier is trained on its
+posteriors, with the shape of the candidate as further features. Base spans stay; of the other candidates, those that
+the classifier accepts are added, patterns that it has not seen included; added spans do not overlap.
+
+Null or empty text: no span. Null id: its row is kept. Very long texts: matches are placed in blocks. Repeated rows: each
+gets its own result. Ties in start go by kind as listed. Empty table: empty result and a model of priors. Other columns
+are not read. All of it is DataFrame expressions; what reaches the driver is one count per pattern of votes and shapes,
+of which there are a few hundred.
 """
 from __future__ import annotations
 
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
-LABELERS = ("strict", "gazetteer", "context", "surroundings")
+LABELERS = ("strict", "gazetteer", "context", "surroundings", "company")
 
 # Strict patterns, written so that a match starts where a run starts or the match before ended: same matches, one scan.
 EMAIL = "(?:\\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++"
@@ -36,10 +38,10 @@ LOCAL_PHONE = "(?<![0-9+().-])(?:\\([0-9]{3}\\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-
 TLDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "eu", "ch", "at", "nl", "us", "ca", "co")
 CALLING_CODES = "^\\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
 CONTEXT = {
-    "email": "(?:e-?mail|mail|contact|kontakt|correo|courriel|write to|@)[^\\n]{0,12}$",
-    "ip": "(?:ip|host|server|address|adresse|client|remote)[^\\n]{0,8}$",
-    "card": "(?:card|karte|carte|tarjeta|visa|mastercard|amex|pan)[^\\n]{0,12}$",
-    "phone": "(?:phone|tel|call|fax|mobile|telefon|téléphone|teléfono|anruf)[^\\n]{0,12}$",
+    "email": "e-?mails?|mailto|mail|contact|kontakt|correo|courriel|write to|schreib|escrib|écri",
+    "ip": "ip|host|server|address|adresse|dirección|direccion|client|remote|serveur|servidor|gateway",
+    "card": "card|karte|carte|tarjeta|visa|mastercard|amex|kreditkarte|credit|crédit|crédito|pan",
+    "phone": "phone|tel|tél|call|fax|mobile|mobil|handy|telefon|telefono|teléfono|téléphone|telephone|anruf|appel|llam|móvil|portable",
 }
 AGAINST = "(?:version|release|isbn|order|invoice|ticket|serial|part no|sku|build|rfc|doi|token|sha|hash|id)[ .:=#\"]{0,4}$"
 
@@ -112,8 +114,10 @@ def _marker(text: Column, kind: str, strict: bool):
 
     def mark(m: Column) -> Column:
         base = _passes(kind, m["value"]) if strict else F.lit(False)
-        before = F.lower(F.substr(text, F.greatest(m["start"] - 31, F.lit(1)), F.least(m["start"], F.lit(32))))
-        context = F.when(before.rlike(CONTEXT[kind]), 1).when(before.rlike(AGAINST), 0).otherwise(-1)
+        before = F.lower(F.substr(text, F.greatest(m["start"] - 47, F.lit(1)), F.least(m["start"], F.lit(48))))
+        after = F.lower(F.substr(text, m["end"] + 1, F.lit(32)))
+        named = before.rlike(f"(?<![\\p{{L}}\\p{{N}}])(?:{CONTEXT[kind]})[^\\n]{{0,24}}$") | after.rlike(f"^[^\\n\\p{{N}}]{{0,12}}(?<![\\p{{L}}])(?:{CONTEXT[kind]})(?![\\p{{L}}])")
+        context = F.when(before.rlike(AGAINST), 0).when(named, 1).otherwise(-1)
         around = F.concat(F.substr(text, m["start"], F.least(m["start"], F.lit(1))), F.substr(text, m["end"] + 1, F.lit(1)))
         loose = F.when(around.rlike("[A-Za-z0-9_=/]"), 0).otherwise(1)
         n = F.length(_digits(m["value"]))
@@ -140,7 +144,21 @@ def _candidates(text: Column) -> Column:
     for kind in KINDS:
         for pattern, may, strict in wide[kind]:
             parts.append(F.when(may, F.transform(_found(text, pattern), _marker(text, kind, strict))).otherwise(F.array().cast(kept)))
-    return F.filter(F.concat(*parts), lambda c: c["likely"])
+
+    def apart(every: Column) -> Column:
+        """Candidates that are base or touch no base span, with the vote of the company."""
+        base = F.filter(every, lambda c: c["base"])
+        return F.element_at(F.transform(F.array(base), lambda b: F.transform(F.filter(every, lambda c: c["base"] | c["likely"] & ~_meets(c, b)), lambda c: voted(c, b))), 1)
+
+    def voted(c: Column, base: Column) -> Column:
+        company = F.when(F.size(base) > c["base"].cast("int"), 1).otherwise(-1)
+        return c.withField("votes", F.concat(c["votes"], F.array(company)))
+
+    return F.element_at(F.transform(F.array(F.concat(*parts)), apart), 1)
+
+
+def _meets(c: Column, spans: Column) -> Column:
+    return F.exists(spans, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -151,11 +169,13 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 @dataclass
 class Model:
-    """reliability[kind][labeler]: (chance of a yes if personal, if not), of votes cast; accept: probability by pattern."""
+    """reliability[kind][labeler]: (chance of a yes if personal, if not), of votes cast; accept: probability by pattern;
+    weight: of the classifier's features."""
 
     prior: list[float] = field(default_factory=lambda: [0.5] * len(KINDS))
     reliability: list[list[tuple[float, float]]] = field(default_factory=list)
     accept: dict[tuple, float] = field(default_factory=dict)
+    weight: dict[tuple, float] = field(default_factory=dict)
 
 
 def fit(found: DataFrame, rounds: int = 30, steps: int = 400, rate: float = 0.5) -> Model:
@@ -197,6 +217,7 @@ def fit(found: DataFrame, rounds: int = 30, steps: int = 400, rate: float = 0.5)
             g += 1e-4 * weight.get(f, 0.0)
             squares[f] = squares.get(f, 0.0) + g * g
             weight[f] = weight.get(f, 0.0) - rate * g / math.sqrt(squares[f] + 1e-12)
+    model.weight = weight
     model.accept = {k: 1 / (1 + math.exp(-sum(weight.get(f, 0.0) for f in fs))) for k, fs in features.items()}
     return model
 
@@ -205,20 +226,31 @@ def _features(kind: int, votes: tuple, shape: tuple) -> list[tuple]:
     return [(kind,), *((kind, "vote", j, v) for j, v in enumerate(votes)), *((kind, "shape", j, v) for j, v in enumerate(shape))]
 
 
-def _pattern(c: Column) -> Column:
-    return F.concat_ws(":", c["kind"], F.concat_ws(",", F.transform(c["votes"], lambda v: v.cast("string"))), F.concat_ws(",", F.transform(c["shape"], lambda v: v.cast("string"))))
+def _logit(c: Column, model: Model) -> Column:
+    """The classifier's sum for a candidate, with weight 0 for what it has not seen."""
+    if not model.weight:
+        return F.lit(float("-inf"))
+    table = F.create_map(*(F.lit(x) for f, w in sorted(model.weight.items(), key=str) for x in ("|".join(map(str, f)), float(w))))
+    of = lambda *parts: F.coalesce(F.try_element_at(table, F.concat_ws("|", c["kind"].cast("string"), *parts)), F.lit(0.0))
+    each = lambda name: F.transform(c[name], lambda v, j: of(F.lit({"votes": "vote"}.get(name, name)), j.cast("string"), v.cast("string")))
+    return F.aggregate(F.concat(each("votes"), each("shape")), of(), lambda a, x: a + x)
 
 
 def accepted(found: DataFrame, model: Model, threshold: float = 0.9) -> DataFrame:
-    """`found` with base and spans: arrays of (start, kind, end) in order of start and kind. An added span that overlaps
-    a base span is not added."""
-    patterns = [f"{k}:{','.join(map(str, v))}:{','.join(map(str, s))}" for (k, v, s), p in model.accept.items() if p >= threshold]
+    """`found` with base and spans: arrays of (start, kind, end) in order of start and kind. An added span overlaps neither
+    a base span nor one that was added before it."""
+    one = "array<struct<start:int,kind:int,end:int>>"
     span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
     base = F.array_sort(F.transform(F.filter("candidates", lambda c: c["base"]), span))
-    yes = F.array(*map(F.lit, patterns)) if patterns else F.array().cast("array<string>")
-    free = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    more = F.filter("candidates", lambda c: ~c["base"] & F.array_contains(yes, _pattern(c)) & free(c))
-    return found.withColumn("base", base).withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", F.transform(more, span)))))
+    least = math.log(threshold / (1 - threshold))
+    more = F.array_sort(F.transform(F.filter("candidates", lambda c: ~c["base"] & (_logit(c, model) >= least) & ~_meets(c, F.col("base"))), span))
+
+    def step(a: Column, s: Column) -> Column:
+        return F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(s)).alias("out"))).otherwise(a)
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(one).alias("out"))
+    added = F.aggregate(more, start, step, lambda a: a["out"])
+    return found.withColumn("base", base).withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", added))))
 
 
 def joined(spans: Column) -> Column:
@@ -231,9 +263,9 @@ def count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with <KIND> in place of every span; overlapping spans are replaced together, by the first one's kind."""
-    model = fit(candidates(docs, docs.columns[0], text_col))
+    model = fit(candidates(docs, id_col, text_col))
     whole = docs.select(F.struct(*docs.columns).alias("doc"))  # other columns may have any names
     text = F.col(f"doc.{text_col}")
     marked = accepted(whole.withColumn("candidates", _candidates(F.coalesce(text, F.lit("")))), model)
