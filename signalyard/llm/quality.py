@@ -2,10 +2,12 @@
 
 Punctuation, navigation and boilerplate rules are evaluated on each line; lines that fail are removed, and a document
 is rejected if that removes too much of its text. Document-level counts (words, symbols, repeated lines, repeated
-five-word windows) come from the same pass.
+five-word windows) come from the same pass. The lists of navigation and boilerplate are in English, German, French and
+Spanish.
 
 Null text: no words, so the document fails the base rules and is not kept; its clean text stays null. Empty text: as
-null, with an empty clean text. Ties do not occur; repeated rows each get their own result; other columns are not read.
+null, with an empty clean text. Null id: its row is kept. Very long texts: one at a time, by lines. Ties do not occur;
+repeated rows each get their own result; empty table: empty result; other columns are not read.
 """
 from __future__ import annotations
 
@@ -21,16 +23,30 @@ from pyspark.sql import functions as F
 from .common import prepare
 
 SYMBOLS = b"#*$%&|<>"
-#: Lines that are a label to click on.
+#: Lines that are a label to click on. Fixed values, by language.
 NAVIGATION = (
     r"(?i)^(?:home|menu|login|log in|sign in|sign up|register|search|next|previous|prev|back|contact|contact us|about|about us"
-    r"|sitemap|share|share this|tweet|print|read more|more|skip to (?:main )?content|top|back to top)[\s.!>»]*$"
+    r"|sitemap|share|share this|tweet|print|read more|more|skip to (?:main )?content|top|back to top"
+    r"|startseite|menü|anmelden|abmelden|registrieren|suche|suchen|weiter|zurück|kontakt|über uns|impressum|datenschutz|teilen|drucken|weiterlesen|mehr lesen|nach oben|zum inhalt"
+    r"|accueil|connexion|se connecter|inscription|s.inscrire|rechercher|suivant|précédent|retour|nous contacter|à propos|plan du site|partager|imprimer|lire la suite|haut de page"
+    r"|inicio|menú|iniciar sesión|registrarse|buscar|siguiente|anterior|volver|contacto|acerca de|sobre nosotros|mapa del sitio|compartir|leer más|arriba)[\s.!>»]*$"
 )
-#: What pages say about themselves.
+#: What pages say about themselves. Fixed values, by language.
 BOILERPLATE = (
     r"(?i)all rights reserved|\bcookies?\b.{0,40}\b(?:policy|accept|settings|use)\b|\bterms of (?:use|service)\b|\bprivacy policy\b"
     r"|enable javascript|javascript is (?:disabled|required)|lorem ipsum|click here|subscribe to our|\bcopyright (?:\(c\)|©|[0-9]{4})"
+    r"|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|allgemeine geschäftsbedingungen|klicken sie hier|newsletter abonnieren"
+    r"|tous droits réservés|politique de confidentialité|conditions d.utilisation|mentions légales|cliquez ici|abonnez-vous"
+    r"|todos los derechos reservados|política de (?:privacidad|cookies)|términos (?:y condiciones|de uso)|aviso legal|haga clic aquí|suscríbase"
 )
+#: One of these stands, in lower case, in all that BOILERPLATE matches.
+HINTS = (
+    "rights reserved", "cookie", "terms of", "privacy policy", "javascript", "lorem ipsum", "click here", "subscribe to", "copyright", "rechte vorbehalten",
+    "datenschutzerkl", "nutzungsbedingungen", "ftsbedingungen", "klicken sie", "newsletter abonnieren", "tous droits", "politique de", "utilisation", "mentions l",
+    "cliquez ici", "abonnez-vous", "los derechos", "tica de privacidad", "rminos", "aviso legal", "haga clic", "suscr",
+)
+#: Letters that match others when case is ignored, though lower case does not make them so.
+_FOLDED = ("\u0131", "\u0130", "\u017f", "\u212a")
 _NAVIGATION, _BOILERPLATE = re.compile(NAVIGATION), re.compile(BOILERPLATE)
 
 
@@ -45,8 +61,14 @@ class LineRules:
     max_lost: float = 0.5
 
 
-def line_fails(line: str, rules: LineRules) -> str | None:
-    """The rule that a line breaks: punctuation, navigation, boilerplate, or None."""
+def may_hold_boilerplate(text: str) -> bool:
+    """False only if no line of the text can match BOILERPLATE."""
+    low = text.lower()
+    return any(map(low.__contains__, HINTS)) or not text.isascii() and any(map(text.__contains__, _FOLDED))
+
+
+def line_fails(line: str, rules: LineRules, boilerplate: bool = True) -> str | None:
+    """The rule that a line breaks: punctuation, navigation, boilerplate, or None. `boilerplate`: whether to look for it."""
     body = line.strip()
     if not body:
         return None
@@ -58,7 +80,7 @@ def line_fails(line: str, rules: LineRules) -> str | None:
         return "punctuation"
     if len(body) <= 24 and _NAVIGATION.match(body):
         return "navigation"
-    if len(body) <= 400 and _BOILERPLATE.search(body):
+    if boilerplate and len(body) <= 400 and _BOILERPLATE.search(body):
         return "boilerplate"
     return None
 
@@ -86,12 +108,12 @@ def judge(raw: bytes | None, rules: LineRules) -> tuple:
     n = len(words)
     word_chars = len(text) - sum(map(text.count, "\t\n\x0b\x0c\r "))
     symbols = sum(map(text.count, SYMBOLS.decode()))
-    seen, dup, lines, out, lost = set(), 0, text.split("\n"), [], 0
+    seen, dup, lines, out, lost, may = set(), 0, text.split("\n"), [], 0, may_hold_boilerplate(text)
     for line in lines:
         if line.isascii() and line.split() or line.strip("\t\n\x0b\x0c\r "):
             dup += line in seen
             seen.add(line)
-        if line_fails(line, rules):
+        if line_fails(line, rules, may):
             lost += len(line) - sum(map(line.count, "\t\x0b\x0c\r "))
         else:
             out.append(line)
