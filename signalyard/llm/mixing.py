@@ -8,11 +8,12 @@ the quotas add up to the budget, so the order gives positions but does not decid
 source that is being served at its quota is taken in part.
 
 Null or empty text: size 0, never served. Null source: a source of its own, last. Null id: served as any other.
-Repeated ids or rows: each row is served by itself; equal shuffle keys go by id. Empty table: empty result.
+Repeated ids or rows: each row is served by itself; equal shuffle keys go by id. Very long texts: only counted. Empty table: empty result.
 Other columns are not read.
 
 Scale: only (id, source, size) leaves the scan. Positions within a source come from sums per (source, hash bucket) plus
-an ordering inside a bucket, so that a source with a third of all rows is spread over `buckets` tasks.
+an ordering inside a bucket, so that a source with a third of all rows is spread over `buckets` tasks; buckets and slots
+follow the number of rows.
 """
 from __future__ import annotations
 
@@ -49,12 +50,22 @@ def target_words(sizes: Sequence[tuple[object, int]], weights: Sequence[int] = (
     return target
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, buckets: int = 256, seed: int = 17) -> DataFrame:
+#: Rows that a task orders at once, about; most ranges of such rows; rows that a broadcast table may have.
+PIECE_ROWS, MOST_PIECES, BROADCAST_ROWS = 500_000, 65_536, 200_000
+
+
+def pieces_of(rows: DataFrame, least: int) -> int:
+    """Into how many pieces rows are dealt to be ordered. `rows` should be a written table, whose count is at hand."""
+    return min(MOST_PIECES, max(least, -(-rows.count() // PIECE_ROWS)))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: Sequence[int] = (1, 2, 3), max_repeats: int = 3, buckets: int | None = None, seed: int = 17) -> DataFrame:
     """The plan of the mix from rows with id, source and `size`: one row per document with size, source_size, target,
     quota (target in whole words), before (words of its source that are served before it, in a pass).
 
     The number of sources is taken to fit on the driver, as weights are given by source.
     """
+    buckets = buckets or pieces_of(docs, 256)
     rows = docs.select(F.col(id_col), F.col(source_col), F.col("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_k"))
     rows = rows.withColumn("_b", F.pmod(F.shiftright("_k", 32), F.lit(buckets)).cast("int"))
     sums = written(rows.groupBy(source_col, "_b").agg(F.sum("size").alias("_n")), "mix-sums")
@@ -70,19 +81,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     before = F.coalesce(F.sum("_n").over(W.partitionBy(source_col).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(source_col, "_b", before.alias("_start"))
     per = totals.join(starts, F.col("_s").eqNullSafe(F.col(source_col))).select("_s", F.col("_b").alias("_c"), "source_size", "target", "quota", "_start")
-    rows = rows.join(F.broadcast(per), F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")), "left")
+    if len(size) * buckets <= BROADCAST_ROWS:
+        per = F.broadcast(per)
+    rows = rows.join(per, F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")), "left")
     inside = W.partitionBy(source_col, "_b").orderBy("_k", id_col, "size")
     rows = rows.withColumn("before", F.col("_start") + F.coalesce(F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     return rows.select(id_col, source_col, "size", "source_size", "target", "quota", "before", "_k")
 
 
-def mixed_sequence(plan: DataFrame, id_col: str = "doc_id", max_repeats: int = 3, slots: int = 512) -> DataFrame:
+def mixed_sequence(plan: DataFrame, id_col: str = "doc_id", max_repeats: int = 3, slots: int | None = None) -> DataFrame:
     """The mix from a plan: its columns, pass, finish (virtual), take (words), position (words of the mix before it).
 
     Rows are range-sorted by finish time: each slot of virtual time is ordered by itself, and sums per slot, of which
     there are `slots`, give where it starts. Words per slot are even by construction, whatever the sources. Takes are
     cut at the quotas before, so the end of the order is the budget and drops no row.
     """
+    slots = slots or pieces_of(plan, 512)
     rows = plan.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(max_repeats - 1))))
     served = F.col("pass") * F.col("source_size") + F.col("before")
     rows = rows.withColumn("take", F.least(F.col("size"), F.col("quota") - served)).filter("size > 0 and take > 0")
@@ -92,10 +106,11 @@ def mixed_sequence(plan: DataFrame, id_col: str = "doc_id", max_repeats: int = 3
     for slot in range(slots):
         starts.append(budget)
         budget += sums.get(slot, 0)
-    begin = F.element_at(F.array(*(F.lit(x).cast("long") for x in starts)), F.col("_slot") + 1)
+    starts = plan.sparkSession.createDataFrame(list(enumerate(starts)), "_at int, _begin long")
+    rows = rows.join(F.broadcast(starts), F.col("_slot") == F.col("_at"))  # a row per slot
     inside = W.partitionBy("_slot").orderBy("finish", "_k", id_col, "pass").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("position", begin + F.coalesce(F.sum("take").over(inside), F.lit(0)))
-    return rows.filter(F.col("position") < budget).drop("_slot")
+    rows = rows.withColumn("position", F.col("_begin") + F.coalesce(F.sum("take").over(inside), F.lit(0)))
+    return rows.filter(F.col("position") < budget).drop("_slot", "_at", "_begin")
 
 
 def taken_words(plan: DataFrame, id_col: str = "doc_id", max_repeats: int = 3) -> DataFrame:
@@ -121,5 +136,6 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), max_repea
     plan = written(mix_sources(sized(docs), weights=weights, max_repeats=max_repeats), "mix-plan")
     copies = mixed_sequence(plan, max_repeats=max_repeats).filter("2 * take >= size").groupBy("doc_id").agg(F.count("*").cast("int").alias("__copies"))
     # ids grow with the documents: they are shuffled, never broadcast, and the join builds on them, not on the texts
-    rows = docs.join(copies.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))  # other columns may have any names
+    rows = whole.join(copies.withColumnRenamed("doc_id", "__id").hint("shuffle_hash"), F.col("doc.doc_id").eqNullSafe(F.col("__id")))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"doc.`{c}`").alias(c) for c in docs.columns))
