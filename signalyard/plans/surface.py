@@ -33,8 +33,10 @@ R = "round({0}, 6) AS {0}".format
 
 
 def folder(spark) -> str:
-    """A new folder that all executors share; a local one where no shared folder is named (tests)."""
+    """A new folder that all executors share; a local one where the driver is the only machine and names none (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{shared.rstrip('/')}/signalyard/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="signalyard")
 
 
