@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.ranges import running_sums
+from ..runtime import written
+
 
 def confusion(rows: DataFrame, labels: Sequence[int] = (0, 1, 2, 3), y: str = "y", p: str = "p") -> DataFrame:
     """(y, p, n) for every pair of labels; values outside the labels are not counted."""
@@ -68,11 +71,12 @@ def evaluate(rows: DataFrame, labels: Sequence[int] = (0, 1, 2, 3)) -> DataFrame
 
 
 def _steps(rows: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
-    """Distinct scores with positives and negatives at and above each."""
-    by = rows.groupBy(F.col(score).alias("score")).agg(F.sum(y).alias("pos"), (F.count("*") - F.sum(y)).alias("neg"))
-    down = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    return by.select("score", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("P"), F.sum("neg").over(every).alias("N"))
+    """Distinct scores with positives and negatives at and above each. Scores are ordered within ranges, each a task."""
+    by = rows.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(y).cast("long").alias("pos"), (F.count("*") - F.sum(y)).cast("long").alias("neg"))
+    by = written(by.withColumn("_down", -F.col("score")), "scores")
+    p, n = by.agg(F.sum("pos"), F.sum("neg")).first()
+    sums = running_sums(by, "_down", {"tp": "pos", "fp": "neg"}, [])
+    return sums.select("score", "pos", "neg", (F.col("tp") + F.col("pos")).alias("tp"), (F.col("fp") + F.col("neg")).alias("fp"), F.lit(p).cast("long").alias("P"), F.lit(n).cast("long").alias("N"))
 
 
 def auroc(rows: DataFrame) -> DataFrame:
@@ -150,3 +154,31 @@ def binary_report(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
     for part in (average_precision(rows), proper_scores(rows), expected_calibration_error(rows), decision_rates(rows, threshold)):
         out = out.crossJoin(part)
     return out
+
+
+def usable_operating_points(rows: DataFrame, specificities: Sequence[float] = (0.95, 0.97, 0.99), coverages: Sequence[float] = (0.5, 0.7, 0.9, 1.0)) -> DataFrame:
+    """(metric, at, value): what a usability score is worth, as rows: area, precision, sensitivity at specificities,
+    and false usables among the best-scored share."""
+    flat = lambda df, name, at, value: df.select(F.lit(name).alias("metric"), at.cast("double").alias("at"), value.cast("double").alias("value"))
+    none = F.lit(None)
+    precision, spots, risk = average_precision(rows), sensitivity_at_specificity(rows, specificities), coverage_risk(rows, coverages)
+    out = flat(auroc(rows), "auroc", none, F.col("auroc"))
+    for part in (
+        flat(precision, "average_precision", none, F.col("ap")), flat(precision, "chance", none, F.col("chance")),
+        flat(spots, "sensitivity", F.col("target"), F.col("sensitivity")), flat(risk, "retained_false_usable", F.col("target"), F.col("retained_false_usable")),
+    ):
+        out = out.unionByName(part)
+    return out
+
+
+def one_versus_rest(rows: DataFrame, labels: Sequence[int] = (0, 1, 2, 3)) -> DataFrame:
+    """(label, auroc, status) of rows (y, probs): the area of each class's probability against all others; a class that is
+    absent, or alone, has no area and says so."""
+    out = None
+    for k, label in enumerate(labels):
+        one = rows.select((F.col("y") == label).cast("long").alias("y"), F.col("probs")[k].alias("score"))
+        n = one.agg(F.sum("y").alias("p"), F.count("*").alias("n"))
+        status = F.when(F.col("p") == 0, "absent").when(F.col("p") == F.col("n"), "alone").otherwise("ok")
+        row = auroc(one).crossJoin(n).select(F.lit(label).alias("label"), "auroc", status.alias("status"))  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.ranges import running_sums
+from ..runtime import written
+
 
 def leave_one_out(rows: DataFrame, group: str) -> DataFrame:
     """(held_out, role, n): for every value of `group`, how many rows train and test. Sizes only: the rows of a fold are
@@ -32,8 +35,8 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     approximation without continuity correction."""
     d = pairs.select((F.col(a) - F.col(b)).alias("d"))
     by = d.filter("d <> 0").groupBy(F.abs("d").alias("m")).agg(F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).alias("up"), F.count("*").alias("k"))
-    before = F.coalesce(F.sum("k").over(W.orderBy("m").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    by = by.withColumn("rank", before + (F.col("k") + 1) / 2.0)
+    by = running_sums(written(by, "differences"), "m", {"before": "k"}, [])
+    by = by.withColumn("rank", F.col("before") + (F.col("k") + 1) / 2.0)
     n, plus, both = F.sum("k"), F.sum(F.col("rank") * F.col("up")), F.sum(F.col("rank") * F.col("k"))
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.sum(F.pow(F.col("k"), F.lit(3.0)) - F.col("k")) / 48.0)
     one = by.agg(F.least(plus, both - plus).alias("statistic"), n.alias("n"), ((plus - both / 2) / spread).alias("z"))
@@ -41,7 +44,8 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p_value", alpha: float = 0.05) -> DataFrame:
-    """`tests` with q_value and rejected: the running least of m p / rank from the greatest p downwards, at most 1."""
+    """`tests` with q_value and rejected: the running least of m p / rank from the greatest p downwards, at most 1. Tests
+    are hypotheses, few enough for one task."""
     up = W.orderBy(p)
     ranked = tests.withColumn("_r", F.row_number().over(up)).withColumn("_m", F.count("*").over(W.partitionBy()))
     down = W.orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, 0)
@@ -116,8 +120,9 @@ def cluster_interval(rows: DataFrame, value: str, cluster: str, method: str = "t
 def replicates(rows: DataFrame, value: str, cluster: str, n_boot: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """(replicate, m) of means over drawn clusters, and the cluster sums they are drawn from."""
     sums = rows.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(cluster).alias("c")).agg(F.sum(value).alias("s"), F.count("*").alias("k"))
-    sums = sums.withColumn("i", F.row_number().over(W.orderBy("c")) - 1)
+    sums = written(sums.withColumn("_h", F.xxhash64("c")).withColumn("_one", F.lit(1)), "cluster-sums")
     g = sums.count()
+    sums = running_sums(sums, "_h", {"i": "_one"}, ["c"]).select("c", "s", "k", F.col("i").cast("int").alias("i"))
     draws = rows.sparkSession.range(n_boot).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(max(g, 1) - 1))).alias("draw"))
     draws = draws.withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "replicate", "draw"), F.lit(max(g, 1))).cast("int"))
     return draws.join(sums, "i").groupBy("replicate").agg((F.sum("s") / F.sum("k")).alias("m")), sums

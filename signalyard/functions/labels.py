@@ -1,7 +1,7 @@
 """Artifact names: canonical sets and one-hot rows."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Names that data sets use, and the ones they stand for.
@@ -55,3 +55,22 @@ def modality_votes(unit: Column, name: Column, fs: Column) -> Column:
     told = F.aggregate(votes, F.lit(0.0), lambda a, v: a + v["told"])
     share = best["all"] / total
     return F.struct(best["m"].alias("modality"), F.when(told == 0, F.least(share, F.lit(0.35))).otherwise(share).alias("confidence"))
+
+
+#: Parts of channel names that are preferred for a modality.
+PREFERRED = {"ecg": ("ii", "mlii", "ecg", "ekg", "lead"), "ppg": ("pleth", "ppg", "bvp", "pulse"), "eda": ("eda", "gsr", "scl", "scr"), "eeg": ("fpz", "fp1", "fp2", "cz", "eeg", "oz", "pz")}
+
+
+def preferred_channel(channels: DataFrame, modality: str, key: str = "recording_id") -> DataFrame:
+    """(key, channel): the first channel whose name holds a token of the modality, else the first."""
+    low = F.lower("channel")
+    told = F.lit(False)
+    for token in PREFERRED.get(modality, ()):
+        told = told | F.contains(low, F.lit(token))
+    return channels.groupBy(key).agg(F.min_by("channel", F.struct((~told).alias("other"), "channel_index")).alias("channel"))
+
+
+def open_warnings(votes: DataFrame, forced: Column, mismatch: float = 0.6, unsure: float = 0.4) -> DataFrame:
+    """`votes` (modality, confidence) with flags: a forced modality against a vote that is sure, and a vote that is not."""
+    against = forced.isNotNull() & (forced != F.col("modality")) & (F.col("confidence") >= mismatch)
+    return votes.withColumn("mismatch", F.coalesce(against, F.lit(False))).withColumn("unsure", F.col("confidence") < unsure)

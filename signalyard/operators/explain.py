@@ -1,7 +1,6 @@
 """Guards and explanations of grades.
 
-Array functions run only on the rows that need them: a condition inside an expression does not keep a Python function
-from running on every row, so rows are filtered first and joined back.
+Array functions get whole batches with all their columns and pick the rows that need work, so nothing is joined back.
 """
 from __future__ import annotations
 
@@ -23,42 +22,42 @@ BSQI_LEAST, TSQI_LEAST = 0.72, 0.66
 def integrity_guard(windows: DataFrame, fs: float, modality: str = "ecg", key: str = "window_id") -> DataFrame:
     """`windows` (key, w, p_unusable) with prefiltered, score and override: a window that the grader finds clean, that
     looks filtered, and on which a voter dissents. Voters run on filtered windows only."""
-    kind = windows.schema[key].dataType.simpleString()
 
-    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def dissents(x: np.ndarray) -> bool:
+        t = kernels.template_agreement(x, fs, modality)
+        return bool((modality == "ecg" and kernels.detector_agreement(x, fs) < BSQI_LEAST) or 0 < t < TSQI_LEAST or not kernels.rhythm(x, fs, modality)[0])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if len(f):
-                found, score = kernels.prefiltered(kernels.Batch(np.stack(f["w"].to_list()), fs), modality)
-                yield pd.DataFrame({key: f[key], "prefiltered": found, "score": score})
+                x = np.stack(f["w"].to_list()).astype(float)
+                found, score = kernels.prefiltered(kernels.Batch(x, fs), modality)
+                asked = found & (f["p_unusable"].to_numpy(float) < 0.5)
+                yield f.assign(prefiltered=found, score=score, override=[bool(a) and dissents(r) for a, r in zip(asked, x, strict=True)])
 
-    def vote(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for w in f["w"]:
-                x = np.asarray(w, float)
-                t = kernels.template_agreement(x, fs, modality)
-                bad = (modality == "ecg" and kernels.detector_agreement(x, fs) < BSQI_LEAST) or 0 < t < TSQI_LEAST or not kernels.rhythm(x, fs, modality)[0]
-                rows.append(bad)
-            yield pd.DataFrame({key: f[key], "dissent": rows})
+    return windows.mapInPandas(run, _with(windows, "prefiltered boolean, score double, override boolean"))
 
-    rows = windows.join(windows.select(key, "w").mapInPandas(look, f"{key} {kind}, prefiltered boolean, score double"), key)
-    asked = rows.filter(F.col("prefiltered") & (F.col("p_unusable") < 0.5)).select(key, "w")
-    rows = rows.join(asked.mapInPandas(vote, f"{key} {kind}, dissent boolean"), key, "left")
-    return rows.withColumn("override", F.coalesce("dissent", F.lit(False))).drop("dissent")
+
+def _with(frame: DataFrame, more: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields) + ", " + more
 
 
 def rate_usability(windows: DataFrame, fs: float, modality: str, key: str = "window_id") -> DataFrame:
     """`windows` (key, w, tier) with rate_usable and hr_bpm, which are looked for in poor windows only."""
-    kind = windows.schema[key].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [kernels.rate_usability(np.asarray(w, float), fs, modality) for w in f["w"]]
-            yield pd.DataFrame({key: f[key], "rate_usable": [r[0] for r in rows], "hr_bpm": [float(r[2]) for r in rows]})
+            rows = [kernels.rate_usability(np.asarray(w, float), fs, modality) if t in POOR else (False, 0.0, 0.0) for w, t in zip(f["w"], f["tier"], strict=True)]
+            yield f.assign(rate_usable=[bool(r[0]) for r in rows], hr_bpm=[float(r[2]) for r in rows])
+
+    return windows.mapInPandas(run, _with(windows, "rate_usable boolean, hr_bpm double"))
+
 
-    found = windows.filter(F.col("tier").isin(*POOR)).select(key, "w").mapInPandas(run, f"{key} {kind}, rate_usable boolean, hr_bpm double")
-    rows = windows.join(found, key, "left")
-    return rows.withColumn("rate_usable", F.coalesce("rate_usable", F.lit(False))).withColumn("hr_bpm", F.coalesce("hr_bpm", F.lit(0.0)))
+def guard_banner(guards: DataFrame, key: str = "rec") -> DataFrame:
+    """(key, warning, banner) from rows (key, ord, fired, reason): whether any guard fired, and the reasons in order."""
+    told = F.array_sort(F.collect_list(F.when(F.col("fired"), F.struct("ord", "reason"))))
+    rows = guards.groupBy(key).agg(F.max(F.coalesce("fired", F.lit(False))).alias("warning"), told.alias("t"))
+    return rows.select(key, "warning", F.array_join(F.array_distinct(F.transform("t", lambda t: t["reason"])), "; ").alias("banner"))
 
 
 Grader = Callable[[np.ndarray], np.ndarray]

@@ -45,3 +45,11 @@ def dense_intervals(track: DataFrame, least: int) -> DataFrame:
     """(rec, start_n, end_n, grade): runs of equal grade of at least `least` samples."""
     runs = with_runs(track, order="n", value=("grade",)).groupBy("rec", "run").agg(F.min("n").alias("start_n"), (F.max("n") + 1).alias("end_n"), F.first("grade").alias("grade"))
     return runs.filter(F.col("end_n") - F.col("start_n") >= least).drop("run")
+
+
+def dense_evaluation(track: DataFrame, truth: DataFrame) -> DataFrame:
+    """Metrics per sample of a dense track (rec, n, grade) against labels (rec, n, label): the samples that have both."""
+    from ..evaluation.metrics import evaluate
+
+    both = track.join(truth, ["rec", "n"])
+    return evaluate(both.select(F.substring("label", 2, 1).cast("int").alias("y"), F.col("grade").alias("p")))

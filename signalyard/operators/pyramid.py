@@ -13,14 +13,18 @@ FACTORS = (1, 8, 64, 512, 4096)
 
 def pyramid(samples: DataFrame, factors: Sequence[int] = FACTORS) -> DataFrame:
     """(rec, factor, bin, y_min, y_max): each level from the one below; factors beyond the record are left out."""
-    sizes = samples.groupBy("rec").agg(F.count("*").alias("len"))
-    level, out, below = samples.select("rec", F.col("n").alias("bin"), F.col("x").alias("y_min"), F.col("x").alias("y_max")), None, 1
+    finest = samples.withColumn("len", F.count("*").over(W.partitionBy("rec")))
+    finest = finest.select("rec", "len", F.col("n").alias("bin"), F.col("x").alias("y_min"), F.col("x").alias("y_max"))
+    level, out, below = finest, None, 1
     for f in sorted(factors):
         if f % below:
-            level, below = samples.select("rec", F.col("n").alias("bin"), F.col("x").alias("y_min"), F.col("x").alias("y_max")), 1
-        level = level.groupBy("rec", F.floor(F.col("bin") / (f // below)).alias("bin")).agg(F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"))
+            level, below = finest, 1
+        level = level.filter(F.col("len") >= f)
+        if f > below:
+            # by recording, as the samples are dealt: no level needs a shuffle of its own
+            level = level.groupBy("rec", "len", F.floor(F.col("bin") / (f // below)).alias("bin")).agg(F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"))
         below = f
-        fits = level.join(sizes.filter(F.col("len") >= f), "rec", "left_semi").select("rec", F.lit(f).alias("factor"), "bin", "y_min", "y_max")
+        fits = level.select("rec", F.lit(f).alias("factor"), "bin", "y_min", "y_max")
         out = fits if out is None else out.unionByName(fits)
     return out
 
@@ -64,5 +68,13 @@ def curve_for_range(samples: DataFrame, start: int, end: int, buckets: int = 800
 
 def value_at(samples: DataFrame, n: float) -> DataFrame:
     """The sample at n, or the next one; the last one after the end."""
-    w = W.partitionBy("rec").orderBy(F.when(F.col("n") >= n, 0).otherwise(1), F.abs(F.col("n") - n))
-    return samples.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("rec", "n", "x")
+    near = F.struct((F.col("n") < n).alias("before"), F.abs(F.col("n") - n).alias("gap"))
+    return samples.groupBy("rec").agg(F.min_by(F.struct("n", "x"), near).alias("s")).select("rec", "s.*")
+
+
+def view(samples: DataFrame, start: int, end: int, buckets: int, margin: float = 0.12) -> DataFrame:
+    """The envelope of what a view of [start, end) shows, and a margin on both sides of it. Buckets are aligned to the
+    recording, so that the points of a bucket stay as the view moves."""
+    width, more = max(1, math.ceil((end - start) / buckets)), math.ceil(margin * (end - start))
+    lo, hi = max(0, start - more) // width * width, -(-(end + more) // width) * width
+    return envelope(samples.filter((F.col("n") >= lo) & (F.col("n") < hi)), width)

@@ -6,7 +6,7 @@ graded better than what is shown there. Nothing is shown better than a window th
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -28,23 +28,28 @@ def fine_badness(samples: DataFrame, width: int, excess: float = 3.0) -> DataFra
     return bins.select("rec", "b", "nb", (high | (F.col("v") < 1e-3 * F.col("usual")) | (F.col("clip") > 0.30)).alias("bad"))
 
 
+def _bins(first: Column, last: Column) -> Column:
+    """Numbers of bins from first to last, none if there are none."""
+    first, last = first.cast("long"), last.cast("long")
+    return F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))
+
+
 def worst_over(bins: DataFrame, intervals: DataFrame, width: float) -> DataFrame:
-    """Bins with the tier and confidence of the worst interval that meets them (the earliest of equals)."""
-    lo, hi = F.col("b") * width, (F.col("b") + 1) * width
-    shown = intervals.select(F.col("rec").alias("_rec"), "start_sec", "end_sec", "tier", "confidence")
-    meets = (F.col("rec") == F.col("_rec")) & (F.col("start_sec") < hi - EPS) & (F.col("end_sec") > lo + EPS)
-    found = F.min_by(F.struct("tier", "confidence"), F.struct(rank(F.col("tier")), "start_sec")).alias("w")
-    return bins.join(shown, meets, "left").groupBy(*bins.columns).agg(found).select(*bins.columns, "w.tier", "w.confidence")
+    """Bins with the tier and confidence of the worst interval that meets them (the earliest of equals). Intervals are
+    dealt to their bins, so the join is by (recording, bin)."""
+    met = _bins(F.floor((F.col("start_sec") + EPS) / width), F.ceil((F.col("end_sec") - EPS) / width) - 1)
+    each = intervals.select("rec", met.alias("b"), "start_sec", "tier", "confidence")
+    found = each.groupBy("rec", "b").agg(F.min_by(F.struct("tier", "confidence"), F.struct(rank(F.col("tier")), "start_sec")).alias("w"))
+    return bins.join(found, ["rec", "b"], "left").select(*bins.columns, "w.tier", "w.confidence")
 
 
 def ceiling_over(bins: DataFrame, windows: DataFrame, length: float, width: float) -> DataFrame:
     """Bins with the tier and confidence of the best window that covers them whole (the earliest of equals)."""
-    lo, hi = F.col("b") * width, (F.col("b") + 1) * width
-    shown = windows.select(F.col("rec").alias("_rec"), F.col("start_n").cast("double").alias("s"), F.col("tier").alias("t"), F.col("confidence").alias("c"))
-    covers = (F.col("rec") == F.col("_rec")) & (F.col("s") <= lo + EPS) & (F.col("s") + length >= hi - EPS)
-    found = F.max_by(F.struct("t", "c"), F.struct(rank(F.col("t")), -F.col("s"))).alias("w")
-    out = bins.join(shown, covers, "left").groupBy(*bins.columns).agg(found)
-    return out.select(*bins.columns, F.col("w.t").alias("ceil_tier"), F.col("w.c").alias("ceil_conf"))
+    s = F.col("start_n").cast("double")
+    covered = _bins(F.ceil((s - EPS) / width), F.floor((s + length + EPS) / width) - 1)
+    each = windows.select("rec", covered.alias("b"), s.alias("s"), F.col("tier").alias("t"), F.col("confidence").alias("c"))
+    found = each.groupBy("rec", "b").agg(F.max_by(F.struct("t", "c"), F.struct(rank(F.col("t")), -F.col("s"))).alias("w"))
+    return bins.join(found, ["rec", "b"], "left").select(*bins.columns, F.col("w.t").alias("ceil_tier"), F.col("w.c").alias("ceil_conf"))
 
 
 def refine(intervals: DataFrame, windows: DataFrame, samples: DataFrame, length: float, width: int, margin: int = 1, excess: float = 3.0) -> DataFrame:

@@ -21,24 +21,31 @@ def move_boundary(intervals: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def split(intervals: DataFrame, at: DataFrame) -> DataFrame:
-    """Intervals cut at times (rec, t) that lie inside by at least 0.1 s; part numbers the pieces."""
-    rows = intervals.join(at, "rec", "left")
-    inside = (F.col("t") > F.col("start_sec") + LEAST_SEC) & (F.col("t") < F.col("end_sec") - LEAST_SEC)
-    piece = lambda a, b, k: F.struct(a.alias("start_sec"), b.alias("end_sec"), F.lit(k).alias("part"))
-    s, e, t = F.col("start_sec"), F.col("end_sec"), F.col("t")
-    rows = rows.withColumn("_p", F.explode(F.when(inside, F.array(piece(s, t, 0), piece(t, e, 1))).otherwise(F.array(piece(s, e, 0)))))
-    return rows.drop("start_sec", "end_sec", "t").select("*", "_p.*").drop("_p")
+    """Intervals cut at all times (rec, t) that lie inside by at least 0.1 s; part numbers the pieces. Of times nearer than
+    0.1 s to a cut before them, none cuts again."""
+    s, e = F.col("start_sec"), F.col("end_sec")
+    times = at.groupBy("rec").agg(F.array_sort(F.collect_set("t")).alias("_t"))
+    inside = F.filter(F.coalesce("_t", F.array().cast("array<double>")), lambda t: (t > s + LEAST_SEC) & (t < e - LEAST_SEC))
+    apart = F.aggregate(inside, F.array(s), lambda cuts, t: F.when(t > F.element_at(cuts, -1) + LEAST_SEC, F.concat(cuts, F.array(t))).otherwise(cuts))
+    rows = intervals.join(times, "rec", "left").withColumn("_cuts", F.concat(apart, F.array(e)))
+    pieces = F.transform(F.sequence(F.lit(0), F.size("_cuts") - 2), lambda k: F.struct(F.get("_cuts", k).alias("start_sec"), F.get("_cuts", k + 1).alias("end_sec"), k.alias("part")))
+    return rows.withColumn("_p", F.explode(pieces)).drop("start_sec", "end_sec", "_t", "_cuts").select("*", "_p.*").drop("_p")
 
 
 def merge_next(intervals: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Intervals where (rec, run) in `chosen` takes in the next one: the longer gives tier and confidence, ties the left."""
+    """Intervals where (rec, run) in `chosen` takes in the next one; neighbours that are all chosen become one. The longest
+    gives tier and confidence, of equals the leftmost; artifacts, if there are any, are united in order."""
     w = W.partitionBy("rec").orderBy("run")
-    rows = intervals.join(chosen.withColumn("_m", F.lit(1)), ["rec", "run"], "left")
-    rows = rows.withColumn("_g", F.when(F.lag("_m").over(w) == 1, F.lag("run").over(w)).otherwise(F.col("run")))
+    rows = intervals.join(chosen.select("rec", "run").distinct().withColumn("_m", F.lit(1)), ["rec", "run"], "left")
+    rows = rows.withColumn("_new", F.when(F.lag("_m").over(w) == 1, 0).otherwise(1)).withColumn("_g", F.sum("_new").over(w))
     d = F.col("end_sec") - F.col("start_sec")
     best = F.max_by(F.struct("tier", "confidence"), F.struct(d, F.negate("run"))).alias("b")
-    out = rows.groupBy("rec", F.col("_g").alias("run")).agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), best)
-    return out.select("rec", "run", "start_sec", "end_sec", "b.*")
+    aggs, names = [F.min("run").alias("run"), F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), best], ["rec", "run", "start_sec", "end_sec", "b.*"]
+    if "artifacts" in intervals.columns:
+        tags = F.array_sort(F.collect_list(F.struct("run", "artifacts")))
+        aggs.append(F.array_distinct(F.flatten(F.transform(tags, lambda t: t["artifacts"]))).alias("artifacts"))
+        names.append("artifacts")
+    return rows.groupBy("rec", "_g").agg(*aggs).select(*names)
 
 
 def reclassify(intervals: DataFrame, chosen: DataFrame) -> DataFrame:

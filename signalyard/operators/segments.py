@@ -150,3 +150,21 @@ def overlap_join(intervals: DataFrame, spans: DataFrame, width: float, key: str
     begin = F.floor(F.greatest("start_sec", "lo") / width)
     pairs = left.join(right, [key, "_bin"]).filter((F.col("start_sec") < F.col("hi")) & (F.col("end_sec") > F.col("lo")))
     return pairs.filter(F.col("_bin") == begin).drop("_bin")
+
+
+def discordant(intervals: DataFrame, column: str = "consensus") -> DataFrame:
+    """`intervals` with discordant: the grader finds it usable, and the quality figures, if there are any, do not."""
+    return intervals.withColumn("discordant", F.col("tier").isin(*USABLE) & (F.col(column) >= 0) & (F.col(column) < 0.5))
+
+
+def span_samples(samples: DataFrame, spans: DataFrame, fs: float) -> DataFrame:
+    """Samples [start fs, end fs) of the span (start_sec, end_sec) of each recording, one sample at least."""
+    lo = F.greatest(F.lit(0), F.floor(F.col("start_sec") * fs))
+    bounds = spans.select("rec", lo.alias("_lo"), F.greatest(lo + 1, F.floor(F.col("end_sec") * fs)).alias("_hi"))
+    return samples.join(bounds, "rec").filter((F.col("n") >= F.col("_lo")) & (F.col("n") < F.col("_hi"))).select("rec", "n", "x")
+
+
+def rationale(tier: Column, confidence: Column, seconds: Column, artifacts: Column) -> Column:
+    """A line on an interval: grade, confidence, duration and what is wrong."""
+    tags = F.when(F.size(artifacts) > 0, F.concat(F.lit("artifacts "), F.array_join(artifacts, ", ")))
+    return F.concat_ws(" | ", F.concat(F.lit("grade "), tier), F.format_string("confidence %.2f", confidence), F.format_string("%.1f s", seconds), tags)

@@ -121,3 +121,25 @@ def stub_grades(stats: DataFrame) -> DataFrame:
     poor = F.col("hi") > 1.0
     probs = lambda *p: F.array(*map(F.lit, p))
     return graded(stats.withColumn("probs", F.when(poor, probs(0.42, 0.30, 0.18, 0.10)).otherwise(probs(0.03, 0.03, 0.03, 0.91))))
+
+
+#: Overlaps that settings offer, and the work (samples, doubled by a second pass) from which a record is streamed.
+OVERLAPS, STREAMED_FROM = (0.0, 0.25, 0.5, 0.75), 8_000_000
+
+
+def offered_overlap(overlap: Column) -> Column:
+    """The offered overlap nearest to one that was asked for; of equals the smaller."""
+    return F.array_min(F.transform(F.array(*map(F.lit, OVERLAPS)), lambda o: F.struct(F.abs(o - overlap).alias("gap"), o.alias("o"))))["o"]
+
+
+def routed(lengths: DataFrame, recovery: bool = True, threshold: int = STREAMED_FROM) -> DataFrame:
+    """`lengths` (rec, len) with work and route: batch, or stream for large records. Both give the same windows."""
+    rows = lengths.withColumn("work", F.col("len") * (2 if recovery else 1))
+    return rows.withColumn("route", F.when(F.col("work") >= threshold, "stream").otherwise("batch"))
+
+
+def patches(length: int, tokens: int = 48, overlap: float = 0.5) -> tuple[int, int, int]:
+    """(size, step, count) of the patches of a window so that it has about `tokens`."""
+    step = max(1, length // tokens)
+    size = max(step, round(step / (1 - overlap)))
+    return size, step, (length - size) // step + 1

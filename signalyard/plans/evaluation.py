@@ -97,9 +97,33 @@ def coverage_risk(spark, sf):
     return rounded(metrics.coverage_risk(binary(spark, sf)))
 
 
-@query("binary_report", f"WITH {STEPS} SELECT round(sum(pos * (nn - fp + neg / 2.0)) / (max(pp) * max(nn)), 6) AS auroc, round(sum(pos * tp / (tp + fp)) / max(pp), 6) AS ap FROM cu")
+REPORT = STEPS + REL[len(BINARY) :] + """,
+r1 AS (SELECT sum(pos * (nn - fp + neg / 2.0)) / (max(pp) * max(nn)) AS auroc, sum(pos * tp / (tp + fp)) / max(pp) AS ap, max(pp) / (max(pp) + max(nn)) AS chance FROM cu),
+r2 AS (SELECT avg(-(y * ln(least(greatest(score, 1e-12), 1 - 1e-12)) + (1 - y) * ln(1 - least(greatest(score, 1e-12), 1 - 1e-12)))) AS nll, avg((score - y) * (score - y)) AS brier, avg(CASE WHEN y = 0 THEN CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END END) AS w, avg(CASE WHEN y = 1 THEN CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END END) AS u FROM b),
+r3 AS (SELECT sum(count * abs(mean_score - mean_true)) / sum(count) AS ece FROM rl)"""
+
+
+@query("binary_report", f"WITH {REPORT} SELECT round(auroc, 6) AS auroc, round(ap, 6) AS ap, round(chance, 6) AS chance, round(nll, 6) AS nll, round(brier, 6) AS brier, round(ece, 6) AS ece, round(w, 6) AS false_usable, round(1 - u, 6) AS false_unusable, round(u, 6) AS usable_recall, round(1 - w, 6) AS unusable_recall, round((u + 1 - w) / 2, 6) AS balanced FROM r1, r2, r3")
 def binary_report(spark, sf):
-    return rounded(metrics.binary_report(binary(spark, sf)).select("auroc", "ap"))
+    return rounded(metrics.binary_report(binary(spark, sf)))
+
+
+POINTS = STEPS + """,
+pt AS (SELECT tp / pp AS tpr, fp / nn AS fpr FROM cu UNION ALL SELECT 0, 0),
+op AS (SELECT t.target, max(tpr) AS sens FROM pt, (SELECT unnest([0.95, 0.97, 0.99])::DOUBLE AS target) t WHERE 1 - fpr >= t.target GROUP BY 1),
+rk AS (SELECT t.target, fp / (tp + fp) AS risk, row_number() OVER (PARTITION BY t.target ORDER BY tp + fp) AS r FROM cu, (SELECT unnest([0.5, 0.7, 0.9, 1.0])::DOUBLE AS target) t WHERE tp + fp >= ceil(t.target * (pp + nn))),
+on1 AS (SELECT sum(pos * (nn - fp + neg / 2.0)) / (max(pp) * max(nn)) AS auroc, sum(pos * tp / (tp + fp)) / max(pp) AS ap, max(pp) / (max(pp) + max(nn)) AS chance FROM cu)"""
+
+
+@query("usable_operating_points", f"WITH {POINTS} SELECT 'auroc' AS metric, NULL::DOUBLE AS at, round(auroc, 6) AS value FROM on1 UNION ALL SELECT 'average_precision', NULL, round(ap, 6) FROM on1 UNION ALL SELECT 'chance', NULL, round(chance, 6) FROM on1 UNION ALL SELECT 'sensitivity', target, round(sens, 6) FROM op UNION ALL SELECT 'retained_false_usable', target, round(risk, 6) FROM rk WHERE r = 1")
+def usable_operating_points(spark, sf):
+    return rounded(metrics.usable_operating_points(binary(spark, sf)))
+
+
+@query("one_versus_rest", f"WITH {GRADED}, pr AS (SELECT y, k, 1.0 / (1 + abs(p - k)) AS s FROM g, (SELECT unnest([0, 1, 2, 3]) AS k)), st AS (SELECT k, s, sum(CASE WHEN y = k THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN y = k THEN 0 ELSE 1 END) AS neg FROM pr GROUP BY 1, 2), cu AS (SELECT *, sum(neg) OVER (PARTITION BY k ORDER BY s DESC) AS fp, sum(pos) OVER (PARTITION BY k) AS pp, sum(neg) OVER (PARTITION BY k) AS nn FROM st) SELECT CAST(k AS INT) AS label, CASE WHEN max(pp) > 0 AND max(nn) > 0 THEN round(sum(pos * (nn - fp + neg / 2.0)) / (max(pp) * max(nn)), 6) END AS auroc, CASE WHEN max(pp) = 0 THEN 'absent' WHEN max(nn) = 0 THEN 'alone' ELSE 'ok' END AS status FROM cu GROUP BY 1")
+def one_versus_rest(spark, sf):
+    probs = F.array(*(F.lit(1.0) / (1 + F.abs(F.col("p") - k)) for k in range(4)))
+    return rounded(metrics.one_versus_rest(graded_docs(spark, sf).withColumn("probs", probs)))
 
 
 @query("overlap_accuracy", f"WITH {GRADED} SELECT round(avg(CASE WHEN abs(y - p) <= 1 THEN 1.0 ELSE 0.0 END), 6) AS overlap_accuracy FROM g")
@@ -202,3 +226,10 @@ def dense_track(spark, sf):
 @query("dense_intervals", f"WITH {GRADES}, d AS (SELECT s.rec, s.n, avg(p0) AS a, avg(p1) AS b, avg(p2) AS c, avg(p3) AS d FROM samples s JOIN grades g ON g.rec = s.rec AND s.n >= g.start_n AND s.n < g.start_n + 32 GROUP BY 1, 2), t AS (SELECT rec, n, CASE greatest(round(a, 9), round(b, 9), round(c, 9), round(d, 9)) WHEN round(a, 9) THEN 0 WHEN round(b, 9) THEN 1 WHEN round(c, 9) THEN 2 ELSE 3 END AS grade FROM d), r AS (SELECT *, sum(nw) OVER (PARTITION BY rec ORDER BY n) AS run FROM (SELECT *, CASE WHEN lag(grade) OVER (PARTITION BY rec ORDER BY n) = grade THEN 0 ELSE 1 END AS nw FROM t)) SELECT rec, min(n) AS start_n, max(n) + 1 AS end_n, min(grade) AS grade FROM r GROUP BY rec, run HAVING count(*) >= 5")
 def dense_intervals(spark, sf):
     return labelled.dense_intervals(labelled.dense_track(grades(spark, sf), 32), 5)
+
+
+@query("dense_evaluation", f"WITH {GRADES}, {SPANS[len(SAMPLES) + 1 :]}, d AS (SELECT s.rec, s.n, avg(p0) AS a, avg(p1) AS b, avg(p2) AS c, avg(p3) AS d FROM samples s JOIN grades g ON g.rec = s.rec AND s.n >= g.start_n AND s.n < g.start_n + 32 GROUP BY 1, 2), t AS (SELECT rec, n, CASE greatest(round(a, 9), round(b, 9), round(c, 9), round(d, 9)) WHEN round(a, 9) THEN 0 WHEN round(b, 9) THEN 1 WHEN round(c, 9) THEN 2 ELSE 3 END AS grade FROM d), e AS (SELECT CAST(substr(label, 2, 1) AS INT) AS y, grade AS p FROM t JOIN lab ON lab.rec = t.rec AND lab.n = t.n) SELECT round(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM e")
+def dense_evaluation(spark, sf):
+    track = labelled.dense_track(grades(spark, sf), 32)
+    truth = labelled.sample_labels(samples(spark, sf), spans(spark, sf)).select("rec", "n", "label")
+    return rounded(labelled.dense_evaluation(track, truth).select("accuracy"))

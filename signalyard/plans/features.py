@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays, kernels, research, usability
-from ..operators import explain
+from ..operators import explain, quality
+from ..operators.ranges import running_sums
 from ..sources import tables
-from .sql import VECTORS, Z
+from .sql import SAMPLES, VECTORS, Z, flat_rows
 from .views import rounded, samples, standardized, vectors
 
 Q: dict = {}
@@ -162,13 +163,45 @@ def simple_dynamics(spark, sf):
     return rounded(rows.select("vec_id", arrays.total(F.transform("d", F.abs)).alias("waveform_length"), F.sqrt(arrays.mean(F.transform("d", lambda v: v * v))).alias("rms_diff"), arrays.mean(turns).alias("slope_changes")))
 
 
+PPG = DFT + """,
+pg AS (SELECT vec_id, sum(CASE WHEN k IN (1, 2) THEN p ELSE 0 END) AS card, sum(CASE WHEN k >= 1 AND k < 8 THEN p ELSE 0 END) AS low, sum(CASE WHEN k >= 8 AND k < 32 THEN p ELSE 0 END) AS high, sum(CASE WHEN k >= 1 AND k < 32 THEN p ELSE 0 END) AS wide FROM sp GROUP BY 1),
+pe AS (SELECT sp.vec_id, -sum(p / (low + 1e-8) * ln(p / (low + 1e-8) + 1e-8)) / ln(7) AS e FROM sp JOIN pg ON pg.vec_id = sp.vec_id WHERE k >= 1 AND k < 8 GROUP BY 1),
+pl AS (SELECT a.vec_id, b.i - a.i AS lag, sum(a.z * b.z) AS r FROM zs a JOIN zs b ON b.vec_id = a.vec_id AND b.i - a.i >= 28 GROUP BY 1, 2),
+pr AS (SELECT pl.vec_id, greatest(0, max(r / (e + 1e-8))) AS r FROM pl JOIN (SELECT vec_id, sum(z * z) AS e FROM zs GROUP BY 1) n ON n.vec_id = pl.vec_id GROUP BY 1),
+pm AS (SELECT vec_id, avg(z * z * z) AS s, avg(z * z * z * z) - 3 AS q FROM zs GROUP BY 1)"""
+
+HAAR4 = HAAR + """,
+h3 AS (SELECT vec_id, k // 2 AS k, sum(a) / sqrt(2) AS a, sum(CASE WHEN k % 2 = 0 THEN a ELSE -a END) / sqrt(2) AS d FROM h2 GROUP BY 1, 2),
+h4 AS (SELECT vec_id, k // 2 AS k, sum(a) / sqrt(2) AS a, sum(CASE WHEN k % 2 = 0 THEN a ELSE -a END) / sqrt(2) AS d FROM h3 GROUP BY 1, 2),
+dz AS (SELECT vec_id, z - lag(z) OVER (PARTITION BY vec_id ORDER BY i) AS d FROM zs), ds AS (SELECT vec_id, max(abs(d)) AS m, sqrt(avg(d * d)) AS r FROM dz GROUP BY 1),
+""" + ", ".join(f"l{j} AS (SELECT h{j}.vec_id, stddev_pop(d) AS s, max(abs(d)) AS m, sum(d * d) / max(e) AS r, (sum(d * d) + 1e-8) / (sum(a * a) + 1e-8) AS b FROM h{j} JOIN en ON en.vec_id = h{j}.vec_id GROUP BY 1)" for j in (1, 2, 3, 4))
+
+EEG = DFT + """,
+eb AS (SELECT vec_id, sum(CASE WHEN k >= 1 AND k < 25 THEN p ELSE 0 END) + 1e-8 AS total, sum(CASE WHEN k = 1 THEN p ELSE 0 END) AS low, sum(CASE WHEN k >= 5 AND k < 25 THEN p ELSE 0 END) AS high, sum(CASE WHEN k >= 8 AND k < 15 THEN p ELSE 0 END) AS gamma, max(CASE WHEN k = 15 THEN p END) / (quantile_cont(p, 0.5) + 1e-8) AS line FROM sp GROUP BY 1),
+ef AS (SELECT vec_id, exp(avg(ln(p + 1e-8))) / (avg(p + 1e-8) + 1e-8) AS flat FROM sp WHERE k >= 5 AND k < 25 GROUP BY 1),
+es AS (SELECT vec_id, sum(a * b) / (sum(a * a) + 1e-8) AS slope FROM (SELECT vec_id, u - avg(u) OVER w AS a, v - avg(v) OVER w AS b FROM (SELECT vec_id, ln(4 * k + 1e-8) AS u, ln(p + 1e-8) AS v FROM sp WHERE k >= 2 AND k < 12) WINDOW w AS (PARTITION BY vec_id)) GROUP BY 1),
+e1 AS (SELECT vec_id, i, z, z - lag(z) OVER w AS d, sign(z) <> sign(lag(z) OVER w) AS c FROM zs WINDOW w AS (PARTITION BY vec_id ORDER BY i)), e2 AS (SELECT *, d - lag(d) OVER (PARTITION BY vec_id ORDER BY i) AS dd FROM e1),
+et AS (SELECT vec_id, avg(CASE WHEN c THEN 1.0 WHEN c IS NULL THEN NULL ELSE 0.0 END) AS zcr, avg(z * z * z * z) - 3 AS kurt, max(abs(d)) AS grad, avg(CASE WHEN d IS NULL THEN NULL WHEN abs(d) < 1e-3 THEN 1.0 ELSE 0.0 END) AS flatline, sqrt((var_pop(d) + 1e-8) / (var_pop(z) + 1e-8)) AS mob, sqrt((var_pop(dd) + 1e-8) / (var_pop(d) + 1e-8)) AS mob2 FROM e2 GROUP BY 1)"""
+
+PACK_SQL = {
+    "ppg": f"WITH {PPG} SELECT pm.vec_id, round(s, 6) AS ppg_skew, round(q, 6) AS ppg_kurt, round(card / (low + 1e-8), 6) AS ppg_cardiac_ratio, round(high / (wide + 1e-8), 6) AS ppg_hf_ratio, round(pe.e, 6) AS ppg_spec_entropy, round(pr.r, 6) AS ppg_pulse_regularity FROM pm JOIN pg ON pg.vec_id = pm.vec_id JOIN pe ON pe.vec_id = pm.vec_id JOIN pr ON pr.vec_id = pm.vec_id",
+    "eda": f"WITH {HAAR4} SELECT l1.vec_id, " + ", ".join(f"round(l{j}.s, 6) AS eda_haar{j}_std, round(l{j}.m, 6) AS eda_haar{j}_max, round(l{j}.r, 6) AS eda_haar{j}_eratio" for j in (1, 2, 3, 4)) + ", round(l1.b, 6) AS eda_detail_approx_ratio, round(ds.m, 6) AS eda_dmax, round(ds.r, 6) AS eda_drms FROM l1 JOIN l2 ON l2.vec_id = l1.vec_id JOIN l3 ON l3.vec_id = l1.vec_id JOIN l4 ON l4.vec_id = l1.vec_id JOIN ds ON ds.vec_id = l1.vec_id",
+    "eeg": f"WITH {EEG} SELECT eb.vec_id, round(low / total, 6) AS eeg_low_ratio, round(high / total, 6) AS eeg_high_ratio, round(gamma / total, 6) AS eeg_gamma_ratio, round(high / total / (low / total + 1e-8), 6) AS eeg_tilt, round(flat, 6) AS eeg_flatness, round(line, 6) AS eeg_line_index, round(slope, 6) AS eeg_aperiodic_slope, round(zcr, 6) AS eeg_zcr, round(kurt, 6) AS eeg_kurt, round(grad, 6) AS eeg_max_grad, round(flatline, 6) AS eeg_flatline_frac, round(mob, 6) AS eeg_hjorth_mob, round(mob2 / (mob + 1e-8), 6) AS eeg_hjorth_comp FROM eb JOIN ef ON ef.vec_id = eb.vec_id JOIN es ON es.vec_id = eb.vec_id JOIN et ON et.vec_id = eb.vec_id",
+}
+
 for _modality, _fs in (("ppg", 64.0), ("eda", 8.0), ("eeg", 256.0), ("advanced", 64.0)):
 
-    @query(f"{_modality}_features")
+    @query(f"{_modality}_features", PACK_SQL.get(_modality))
     def _features(spark, sf, modality=_modality, fs=_fs):
         return rounded(batched(vectors(spark, sf), lambda x: kernels.PACKS[modality](kernels.Batch(x, fs)), NAMES[modality]))
 
 
+
+@query("universal_sqis", f"WITH {DFT}, u AS (SELECT vec_id, sum(CASE WHEN k > 40 * 64 / 128.0 THEN p ELSE 0 END) / (sum(p) + 1e-12) AS hf, exp(avg(ln(p + 1e-12))) / avg(p + 1e-12) AS flat FROM sp GROUP BY 1), m AS (SELECT vec_id, avg(z * z * z * z) - 3 AS q, avg(z * z * z) AS s FROM zs GROUP BY 1), d AS (SELECT vec_id, z - lag(z) OVER (PARTITION BY vec_id ORDER BY i) AS d FROM zs), f AS (SELECT vec_id, avg(CASE WHEN abs(d) < 1e-3 THEN 1.0 ELSE 0.0 END) AS fl FROM d WHERE d IS NOT NULL GROUP BY 1) SELECT u.vec_id, round(hf, 4) AS hf_ratio, round(flat, 4) AS spectral_flatness, round(q, 3) AS kurtosis, round(s, 3) AS skewness, round(fl, 4) AS flatline_frac FROM u JOIN m ON m.vec_id = u.vec_id JOIN f ON f.vec_id = u.vec_id")
+def universal_sqis(spark, sf):
+    return batched(vectors(spark, sf), lambda x: kernels.universal_sqis(kernels.Batch(x, 128.0)), ["hf_ratio", "spectral_flatness", "kurtosis", "skewness", "flatline_frac"])
+
+
 @query("prefilter")
 def prefilter(spark, sf):
     def fn(x: np.ndarray) -> dict[str, np.ndarray]:
@@ -198,18 +231,22 @@ BREAKDOWN = "array<struct<name:string,value:double,bar:double,informational:bool
 
 
 @query("sqi_breakdown")
-def sqi_breakdown(spark, sf):
+def sqi_breakdown(spark, sf, modality="eeg"):
     """Named quality figures per window and the consensus of those that count."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [kernels.breakdown(np.asarray(w, float), 128.0, "eeg") for w in f["w"]]
+            rows = [kernels.breakdown(np.asarray(w, float), 128.0, modality) for w in f["w"]]
             yield pd.DataFrame({"vec_id": f["vec_id"], "rows": rows, "consensus": [kernels.consensus(r) for r in rows]})
 
     found = vectors(spark, sf).select("vec_id", "w").mapInPandas(run, f"vec_id long, rows {BREAKDOWN}, consensus double")
     return rounded(found.select("vec_id", "consensus", F.explode("rows").alias("r")).select("vec_id", "consensus", "r.*"))
 
 
+for _modality in ("ecg", "ppg", "eda", "other"):
+    query(f"sqi_breakdown_{_modality}")(lambda spark, sf, m=_modality: sqi_breakdown(spark, sf, m))
+
+
 @query("recovery_filter")
 def recovery_filter(spark, sf):
     def fn(x: np.ndarray) -> dict[str, np.ndarray]:
@@ -235,10 +272,8 @@ def novelty_fraction(spark, sf):
     """Share of novel windows among every max(1, n div 200)-th."""
     z = standardized(spark, sf).select("vec_id", arrays.mean(F.transform("z", lambda v: v * v * v)).alias("a"))
     card = z.agg(F.avg("a"), F.stddev_pop("a"), F.count("*")).first()
-    from pyspark.sql import Window as W
-
     step = max(1, card[2] // 200)
-    rows = z.withColumn("k", F.row_number().over(W.orderBy("vec_id")) - 1).filter(F.col("k") % step == 0)
+    rows = running_sums(z.withColumn("one", F.lit(1)), "vec_id", {"k": "one"}, []).filter(F.col("k") % step == 0)
     d2 = F.pow((F.col("a") - card[0]) / (card[1] + 1e-9), F.lit(2.0))
     return rounded(rows.agg(F.avg((d2 > 2.7).cast("double")).alias("fraction"), F.count("*").alias("n")))
 
@@ -271,14 +306,11 @@ def tkeo(spark, sf):
     return rounded(vectors(spark, sf).select("vec_id", arrays.mean(energy).alias("mean_energy"), F.array_max(energy).alias("peak_energy")))
 
 
-@query("flatline_per_recording")
+@query("flatline_per_recording", f"WITH {SAMPLES}, {flat_rows('samples', 8)} SELECT rec, round(avg(CASE WHEN flat THEN 1.0 ELSE 0.0 END), 6) AS flatline_frac FROM flats GROUP BY 1")
 def flatline_per_recording(spark, sf):
-    from ..operators import quality
-
     return rounded(quality.flatline(samples(spark, sf), 8.0))
 
 
-
 @query("quality_matrix", f"WITH {VECTORS}, c AS (SELECT vec_id, i, x, x - avg(x) OVER w AS c, max(x) OVER w AS hi, min(x) OVER w AS lo, abs(x - lag(x) OVER (PARTITION BY vec_id ORDER BY i)) AS d FROM v WINDOW w AS (PARTITION BY vec_id)), g AS (SELECT vec_id, avg(c * c) AS v, avg(c * c * c) AS m3, avg(c * c * c * c) AS m4, avg(CASE WHEN d < 1e-4 THEN 1.0 WHEN d IS NULL THEN NULL ELSE 0.0 END) AS flatline, avg(CASE WHEN hi - x < 0.01 * (hi - lo + 1e-9) OR x - lo < 0.01 * (hi - lo + 1e-9) THEN 1.0 ELSE 0.0 END) AS saturation FROM c GROUP BY 1) SELECT vec_id, round(m4 / (v * v) - 3, 6) AS kurtosis, round(m3 / pow(v, 1.5), 6) AS skewness, round(flatline, 6) AS flatline, round(saturation, 6) AS saturation FROM g")
 def quality_matrix(spark, sf):
     return rounded(batched(vectors(spark, sf), lambda x: research.quality_matrix(x, 64.0, "ppg"), ["kurtosis", "skewness", "flatline", "saturation"]))
@@ -316,26 +348,25 @@ def spectral_figures(spark, sf):
 
 @query("band_usability")
 def band_usability(spark, sf):
-    kind = "array<struct<band:string,lo_hz:double,hi_hz:double,usable:boolean,snr_db:double,detail:string>>"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"vec_id": f["vec_id"], "rows": [usability.eeg_bands(np.asarray(w, float), 16.0) for w in f["w"]]})
-
-    found = vectors(spark, sf).select("vec_id", "w").mapInPandas(run, f"vec_id long, rows {kind}")
-    return rounded(found.select("vec_id", F.explode("rows").alias("r")).select("vec_id", "r.*"))
+    return usable_parts(vectors(spark, sf), 16.0, "eeg", "band string, lo_hz double, hi_hz double, usable boolean, snr_db double, verdict string")
 
 
 @query("component_usability")
 def component_usability(spark, sf):
-    kind = "array<struct<component:string,usable:boolean,value:double,detail:string>>"
+    raised = vectors(spark, sf).withColumn("w", F.transform("w", lambda v: v + 2))
+    return usable_parts(raised, 8.0, "eda", "component string, usable boolean, value double, verdict string")
+
+
+def usable_parts(windows: DataFrame, fs: float, modality: str, schema: str) -> DataFrame:
+    """A row per window and band or component."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"vec_id": f["vec_id"], "rows": [usability.eda_components(2 + np.asarray(w, float), 8.0) for w in f["w"]]})
+            if len(f):
+                found = usability.usability(np.stack(f["w"].to_list()).astype(float), fs, modality)
+                yield pd.DataFrame([{"vec_id": i, **r} for i, rows in zip(f["vec_id"], found, strict=True) for r in rows])
 
-    found = vectors(spark, sf).select("vec_id", "w").mapInPandas(run, f"vec_id long, rows {kind}")
-    return rounded(found.select("vec_id", F.explode("rows").alias("r")).select("vec_id", "r.*"))
+    return rounded(windows.select("vec_id", "w").mapInPandas(run, f"vec_id long, {schema}"))
 
 
 @query("integrity_guard")

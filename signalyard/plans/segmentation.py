@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays
 from ..operators import pyramid, quality, refine, review, segments, windows
 from ..sources import tables
-from .sql import FLAWED, GRADES, INTERVALS, LENGTH, RUNS, SAMPLES, STARTS, STATS, STEP, TAGGED
+from .sql import FLAWED, GRADES, INTERVALS, LENGTH, RUNS, SAMPLES, STARTS, STATS, STEP, TAGGED, flat_rows
 from .views import grades, intervals, rounded, samples, tagged
 
 Q: dict = {}
@@ -246,12 +246,15 @@ def worst_overlap(spark, sf):
     return pairs.groupBy("rec", "lo", "hi").agg(F.min("tier").alias("worst"), F.count("*").alias("n"))
 
 
-@query("completeness", f"WITH {FLAWED}, c0 AS (SELECT *, x IS NOT NULL AS ok, min(x) OVER (PARTITION BY rec) AS lo, max(x) OVER (PARTITION BY rec) AS hi FROM flawed), c1 AS (SELECT *, NOT ok OR x = 0 AS bad, ok AND hi > lo AND (x >= lo + 0.999 * (hi - lo) OR x <= hi - 0.999 * (hi - lo)) AS rail FROM c0), c2 AS (SELECT *, sum(nw) OVER (PARTITION BY rec ORDER BY n) AS run FROM (SELECT *, CASE WHEN lag(bad) OVER (PARTITION BY rec ORDER BY n) = bad THEN 0 ELSE 1 END AS nw FROM c1)), c3 AS (SELECT rec, run, bad, count(*) AS size, sum(CASE WHEN ok THEN 0 ELSE 1 END) AS missing, sum(CASE WHEN rail THEN 1 ELSE 0 END) AS rail FROM c2 GROUP BY 1, 2, 3) SELECT rec, CAST(sum(size) AS BIGINT) AS n_samples, round(sum(missing) / sum(size), 6) AS missing_frac, round(sum(rail) / sum(size), 6) AS clipping_frac, CAST(sum(CASE WHEN bad AND size >= 4 THEN 1 ELSE 0 END) AS BIGINT) AS n_dropout_gaps, round(max(CASE WHEN bad THEN size ELSE 0 END) / 8.0, 6) AS longest_gap_s, round(greatest(0.0, 1 - sum(CASE WHEN bad AND size >= 4 THEN size ELSE missing END) / sum(size)), 6) AS completeness FROM c3 GROUP BY rec")
+COMPLETENESS = "c0 AS (SELECT *, x IS NOT NULL AS ok, min(x) OVER (PARTITION BY rec) AS lo, max(x) OVER (PARTITION BY rec) AS hi FROM flawed), c1 AS (SELECT *, NOT ok OR x = 0 AS bad, ok AND hi > lo AND (x >= lo + 0.999 * (hi - lo) OR x <= hi - 0.999 * (hi - lo)) AS rail FROM c0), c2 AS (SELECT *, sum(nw) OVER (PARTITION BY rec ORDER BY n) AS run FROM (SELECT *, CASE WHEN lag(bad) OVER (PARTITION BY rec ORDER BY n) = bad THEN 0 ELSE 1 END AS nw FROM c1)), c3 AS (SELECT rec, run, bad, count(*) AS size, sum(CASE WHEN ok THEN 0 ELSE 1 END) AS missing, sum(CASE WHEN rail THEN 1 ELSE 0 END) AS rail FROM c2 GROUP BY 1, 2, 3), comp AS (SELECT rec, CAST(sum(size) AS BIGINT) AS n_samples, round(sum(missing) / sum(size), 6) AS missing_frac, round(sum(rail) / sum(size), 6) AS clipping_frac, CAST(sum(CASE WHEN bad AND size >= 4 THEN 1 ELSE 0 END) AS BIGINT) AS n_dropout_gaps, round(max(CASE WHEN bad THEN size ELSE 0 END) / 8.0, 6) AS longest_gap_s, round(greatest(0.0, 1 - sum(CASE WHEN bad AND size >= 4 THEN size ELSE missing END) / sum(size)), 6) AS completeness FROM c3 GROUP BY rec)"
+
+
+@query("completeness", f"WITH {FLAWED}, {COMPLETENESS} SELECT * FROM comp")
 def completeness(spark, sf):
     return rounded(quality.completeness(tables.flawed(samples(spark, sf)), 8.0))
 
 
-@query("record_quality")
+@query("record_quality", f"WITH {FLAWED}, {COMPLETENESS}, {flat_rows('flawed', 8)}, ff AS (SELECT rec, avg(CASE WHEN flat THEN 1.0 ELSE 0.0 END) AS f FROM flats GROUP BY 1) SELECT c.*, round(f, 6) AS flatline_frac, n_samples / 8.0 AS duration_s, concat_ws('; ', CASE WHEN missing_frac > 0.01 THEN CAST(round_even(missing_frac * 100, 0) AS INT) || '% missing/NaN samples' END, CASE WHEN f > 0.2 THEN CAST(round_even(f * 100, 0) AS INT) || '% flatline (dead/disconnected sensor?)' END, CASE WHEN clipping_frac > 0.05 THEN CAST(round_even(clipping_frac * 100, 0) AS INT) || '% clipped/saturated (gain too high?)' END, CASE WHEN n_dropout_gaps > 0 THEN n_dropout_gaps || ' dropout gap(s), longest ' || printf('%.1f', longest_gap_s) || 's' END) AS flags, completeness >= 0.9 AND f < 0.5 AND clipping_frac < 0.5 AS usable FROM comp c JOIN ff ON ff.rec = c.rec")
 def record_quality(spark, sf):
     rows = quality.record_quality(tables.flawed(samples(spark, sf)), 8.0)
     return rounded(rows.withColumn("flags", F.array_join("flags", "; ")))
@@ -303,16 +306,71 @@ def moved_boundary(spark, sf):
     return rounded(review.move_boundary(rows, moves).select("rec", "run", "tier", "start_sec", "end_sec"))
 
 
-@query("split_intervals", f"WITH {INTERVALS}, s AS (SELECT *, 30.0 > start_sec + 0.1 AND 30.0 < end_sec - 0.1 AS inside FROM intervals) SELECT rec, run, tier, 0 AS part, round(start_sec, 6) AS start_sec, round(CASE WHEN inside THEN 30.0 ELSE end_sec END, 6) AS end_sec FROM s UNION ALL SELECT rec, run, tier, 1, 30.0, round(end_sec, 6) FROM s WHERE inside")
+@query("split_intervals", f"WITH {INTERVALS}, c AS (SELECT *, list_concat([start_sec], list_filter([20.0, 30.0, 45.0], lambda t: t > start_sec + 0.1 AND t < end_sec - 0.1), [end_sec]) AS cuts FROM intervals), p AS (SELECT *, unnest(range(1, len(cuts))) AS k FROM c) SELECT rec, run, tier, CAST(k - 1 AS INT) AS part, round(cuts[k], 6) AS start_sec, round(cuts[k + 1], 6) AS end_sec FROM p")
 def split_intervals(spark, sf):
-    at = windows.lengths(samples(spark, sf)).select("rec", F.lit(30.0).alias("t"))
+    """Several cuts a recording, two of them too near each other."""
+    times = F.array(*map(F.lit, (45.0, 20.0, 20.05, 30.0)))
+    at = windows.lengths(samples(spark, sf)).select("rec", F.explode(times).alias("t"))
     return rounded(review.split(intervals(spark, sf), at).select("rec", "run", "tier", "part", "start_sec", "end_sec"))
 
 
-@query("merged_intervals", f"WITH {INTERVALS}, g AS (SELECT *, CASE WHEN run = 1 THEN 0 ELSE run END AS grp FROM intervals) SELECT rec, grp AS run, round(min(start_sec), 6) AS start_sec, round(max(end_sec), 6) AS end_sec, arg_min(tier, (-(end_sec - start_sec)) * 1000 + run) AS tier, round(arg_min(confidence, (-(end_sec - start_sec)) * 1000 + run), 6) AS confidence FROM g GROUP BY rec, grp")
+@query("merged_intervals", f"WITH {INTERVALS}, g AS (SELECT *, sum(CASE WHEN run - 1 IN (0, 1, 3) THEN 0 ELSE 1 END) OVER (PARTITION BY rec ORDER BY run) AS grp FROM intervals) SELECT rec, min(run) AS run, round(min(start_sec), 6) AS start_sec, round(max(end_sec), 6) AS end_sec, arg_min(tier, (-(end_sec - start_sec)) * 1000 + run) AS tier, round(arg_min(confidence, (-(end_sec - start_sec)) * 1000 + run), 6) AS confidence FROM g GROUP BY rec, grp")
 def merged_intervals(spark, sf):
+    """Neighbours that are both chosen become one."""
     rows = intervals(spark, sf)
-    return rounded(review.merge_next(rows, rows.filter("run = 0").select("rec", "run")))
+    return rounded(review.merge_next(rows, rows.filter("run in (0, 1, 3)").select("rec", "run")))
+
+
+@query("view_slice", f"WITH {SAMPLES} {ENVELOPE.format(w=5, where=' WHERE n >= 15 AND n < 65')}")
+def view_slice(spark, sf):
+    return pyramid.view(samples(spark, sf), 20, 60, 8)
+
+
+@query("span_samples", f"WITH {INTERVALS} SELECT s.rec, s.n, round(s.x, 6) AS x FROM samples s JOIN intervals i ON i.rec = s.rec AND i.run = 0 WHERE s.n >= floor(i.start_sec) AND s.n < greatest(floor(i.start_sec) + 1, floor(i.end_sec))")
+def span_samples(spark, sf):
+    return rounded(segments.span_samples(samples(spark, sf), intervals(spark, sf).filter("run = 0"), 1.0))
+
+
+@query("discordant_intervals", f"WITH {INTERVALS}, c AS (SELECT *, CASE WHEN run % 5 = 0 THEN -1 ELSE confidence - 0.2 END AS consensus FROM intervals) SELECT rec, run, tier IN ('Q2', 'Q3') AND consensus >= 0 AND consensus < 0.5 AS discordant FROM c")
+def discordant_intervals(spark, sf):
+    rows = intervals(spark, sf).withColumn("consensus", F.when(F.col("run") % 5 == 0, -1.0).otherwise(F.col("confidence") - 0.2))
+    return segments.discordant(rows).select("rec", "run", "discordant")
+
+
+@query("rationales", f"WITH {INTERVALS} SELECT rec, run, 'grade ' || tier || ' | confidence ' || printf('%.2f', confidence) || ' | ' || printf('%.1f', end_sec - start_sec) || ' s' AS rationale FROM intervals")
+def rationales(spark, sf):
+    none = F.array().cast("array<string>")
+    text = segments.rationale(F.col("tier"), F.col("confidence"), F.col("end_sec") - F.col("start_sec"), none)
+    return intervals(spark, sf).select("rec", "run", text.alias("rationale"))
+
+
+@query("routed_recordings", f"WITH {SAMPLES} SELECT rec, len, 2 * len AS work, CASE WHEN 2 * len >= 130 THEN 'stream' ELSE 'batch' END AS route FROM lens")
+def routed_recordings(spark, sf):
+    return windows.routed(windows.lengths(samples(spark, sf)), True, 130)
+
+
+@query("offered_overlaps", f"WITH {SAMPLES} SELECT rec, CASE WHEN o <= 0.125 THEN 0.0 WHEN o <= 0.375 THEN 0.25 WHEN o <= 0.625 THEN 0.5 ELSE 0.75 END::DOUBLE AS overlap FROM (SELECT rec, (len % 10) / 10.0 AS o FROM lens)")
+def offered_overlaps(spark, sf):
+    return windows.lengths(samples(spark, sf)).select("rec", windows.offered_overlap((F.col("len") % 10) / 10.0).alias("overlap"))
+
+
+@query("normalized_zscore", f"WITH {STARTS}, s AS (SELECT t.rec, t.start_n, s.n - t.start_n AS pos, x FROM starts t JOIN samples s ON s.rec = t.rec AND s.n >= t.start_n AND s.n < t.start_n + {LENGTH}) SELECT rec, start_n, CAST(pos AS INT) AS pos, round(CASE WHEN stddev_pop(x) OVER w > 1e-8 THEN (x - avg(x) OVER w) / stddev_pop(x) OVER w ELSE 0 END, 6) AS x FROM s WINDOW w AS (PARTITION BY rec, start_n)")
+def normalized_zscore(spark, sf):
+    rows = windows.windowed(samples(spark, sf), LENGTH, STEP)
+    held = rows.groupBy("rec", "start_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("w"))
+    return rounded(windows.normalized(held, "zscore").select("rec", "start_n", F.posexplode("w").alias("pos", "x")))
+
+
+@query("flat_samples", f"WITH {FLAWED}, {flat_rows('flawed', 8)} SELECT rec, n, flat FROM flats")
+def flat_samples(spark, sf):
+    return quality.flat_samples(tables.flawed(samples(spark, sf)), 8.0)
+
+
+@query("flatline_of_still_recordings", f"WITH {SAMPLES}, calm AS (SELECT rec, n, CASE WHEN rec % 3 = 0 AND n >= 4 THEN 7.0 WHEN rec % 3 = 1 AND n % 2 = 0 THEN x / 100 ELSE x END AS x FROM samples), {flat_rows('calm', 8)} SELECT rec, round(avg(CASE WHEN flat THEN 1.0 ELSE 0.0 END), 6) AS flatline_frac FROM flats GROUP BY 1")
+def flatline_of_still_recordings(spark, sf):
+    """Recordings that stand still from some sample on, that alternate, and that do neither."""
+    x = F.when((F.col("rec") % 3 == 0) & (F.col("n") >= 4), 7.0).when((F.col("rec") % 3 == 1) & (F.col("n") % 2 == 0), F.col("x") / 100).otherwise(F.col("x"))
+    return rounded(quality.flatline(samples(spark, sf).select("rec", "n", x.alias("x")), 8.0))
 
 
 REVIEWS = INTERVALS + """,

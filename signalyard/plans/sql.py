@@ -49,3 +49,25 @@ BINARY = "b AS (SELECT l.doc_id, l.quality AS y, round(1.0 - exp(-d.n_chars / 20
 
 #: Grades of documents: truth from the labels and the length, prediction from the length alone.
 GRADED = "g AS (SELECT l.doc_id, CASE WHEN l.quality = 1 THEN 2 ELSE 0 END + CASE WHEN d.n_chars > 1500 THEN 1 ELSE 0 END AS y, CAST(least(3, d.n_chars // 1000) AS INT) AS p FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"
+
+
+def rolling(name: str, table: str, column: str, width: int) -> str:
+    """A deviation over `width` samples around each, each window by itself."""
+    lo = f"greatest(i.n - least({width}, i.len) // 2, 0)"
+    return f"{name} AS (SELECT i.rec, i.n, stddev_pop(j.{column}) AS s FROM {table} i JOIN {table} j ON j.rec = i.rec AND j.n >= {lo} AND j.n < least({lo} + least({width}, i.len), i.len) GROUP BY 1, 2)"
+
+
+def flat_rows(source: str, fs: int) -> str:
+    """Table `flats` (rec, n, flat) from samples in `source`, as operators/quality.py has the rules."""
+    width, beat = max(round(0.5 * fs), 64), max(2, round(2 * fs))
+    return f"""fv AS (SELECT rec, n, x AS v, count(*) OVER (PARTITION BY rec) AS len, last_value(x IGNORE NULLS) OVER (PARTITION BY rec ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {source}),
+fs AS (SELECT rec, quantile_cont(v, 0.5) AS med, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) AS span, count(v) AS valid, stddev_pop(v) AS sd, stddev_pop(v - before) AS jitter FROM fv GROUP BY 1),
+fy AS (SELECT a.rec, a.n, a.len, coalesce(a.v, 0) - s.med AS y FROM fv a JOIN fs s ON s.rec = a.rec),
+fd AS (SELECT *, coalesce(y - lag(y) OVER (PARTITION BY rec ORDER BY n), 0) AS d FROM fy),
+{rolling("fa", "fd", "y", width)}, {rolling("fx", "fd", "y", beat)}, {rolling("fw", "fd", "d", beat)},
+fc AS (SELECT rec, quantile_cont(s, 0.95) AS alive, avg(s) AS act, stddev_pop(s) AS act_sd FROM fa GROUP BY 1),
+fq AS (SELECT a.rec, a.n, d.len, s.span <= 0 OR s.valid = 0 OR (s.valid >= 3 AND (s.sd <= 0 OR (s.jitter >= 1.38 * s.sd AND c.act > 0 AND c.act_sd / c.act < 0.3))) AS dead,
+  a.s <= 1e-3 * s.span OR (c.alive > 0 AND a.s <= 0.15 * c.alive AND a.s <= 0.15 * s.span AND CASE WHEN x.s > 0 THEN w.s / x.s ELSE 0 END >= 1.3) AS still
+  FROM fa a JOIN fd d ON d.rec = a.rec AND d.n = a.n JOIN fx x ON x.rec = a.rec AND x.n = a.n JOIN fw w ON w.rec = a.rec AND w.n = a.n JOIN fs s ON s.rec = a.rec JOIN fc c ON c.rec = a.rec),
+fr AS (SELECT *, sum(nw) OVER (PARTITION BY rec ORDER BY n) AS run FROM (SELECT *, CASE WHEN lag(still) OVER (PARTITION BY rec ORDER BY n) = still THEN 0 ELSE 1 END AS nw FROM fq)),
+flats AS (SELECT rec, n, dead OR (still AND count(*) OVER (PARTITION BY rec, run) >= least({max(width, fs)}, len)) AS flat FROM fr)"""

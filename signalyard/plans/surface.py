@@ -1,16 +1,15 @@
 """Queries over sources, streams, and the relational surface that the engine leaves to Spark."""
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import labels as L
+from ..operators import explain
 from ..sinks import files
 from ..sources import formats
 from ..sources.tables import table
+from ..runtime import new_path
 from ..streaming import windows as stream
 from .sql import INTERVALS, LENGTH, STATS, STEP
 from .views import intervals, rounded, samples
@@ -32,18 +31,10 @@ def query(name: str, sql: str | None = None):
 R = "round({0}, 6) AS {0}".format
 
 
-def folder(spark) -> str:
-    """A new folder that all executors share; a local one where the driver is the only machine and names none (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{shared.rstrip('/')}/signalyard/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="signalyard")
-
-
 @query("streamed_window_stats", f"WITH {STATS} SELECT rec, start_n, {R('m')}, {R('sd')}, {R('lo')}, {R('hi')} FROM stats")
 def streamed_window_stats(spark, sf):
     """The windows of the events as a stream of files, each a stretch of every recording."""
-    base = folder(spark)
+    base = new_path(spark, "stream")
     rows = samples(spark, sf)
     rows = rows.withColumn("last", F.lead("n").over(W.partitionBy("rec").orderBy("n")).isNull()).withColumn("part", F.floor(F.col("n") / 25))
     rows.repartition(1, "part").sortWithinPartitions("part", "rec", "n").write.partitionBy("part").parquet(f"{base}/in")
@@ -90,6 +81,17 @@ def modality_vote(spark, sf):
     return rounded(channels(spark).select("recording_id", "channel_index", L.modality_votes(F.col("unit"), F.col("channel"), F.col("fs")).alias("v")).select("recording_id", "channel_index", "v.*"))
 
 
+@query("preferred_channels", f"SELECT recording_id, channel FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY CASE WHEN regexp_matches(lower(channel), '{'|'.join(L.PREFERRED['eeg'])}') THEN 0 ELSE 1 END, channel_index) AS r FROM {CHANNELS_SQL}) WHERE r = 1")
+def preferred_channels(spark, sf):
+    return L.preferred_channel(channels(spark), "eeg")
+
+
+@query("guard_banners", f"SELECT recording_id AS rec, bool_or(fs < 100) AS warning, coalesce(string_agg(channel, '; ' ORDER BY channel_index) FILTER (WHERE fs < 100), '') AS banner FROM {CHANNELS_SQL} GROUP BY 1")
+def guard_banners(spark, sf):
+    rows = channels(spark).select(F.col("recording_id").alias("rec"), F.col("channel_index").alias("ord"), (F.col("fs") < 100).alias("fired"), F.col("channel").alias("reason"))
+    return explain.guard_banner(rows)
+
+
 @query("rate_from_time", "WITH s AS (SELECT p_size AS k, p_partkey * (CASE p_size % 3 WHEN 0 THEN 0.004 WHEN 1 THEN 4.0 ELSE 4000.0 END) AS t FROM part), d AS (SELECT k, lead(t) OVER (PARTITION BY k ORDER BY t) - t AS d FROM s), m AS (SELECT k, quantile_cont(d, 0.5) AS d FROM d WHERE d IS NOT NULL GROUP BY 1) SELECT k, round(CASE WHEN 1 / d BETWEEN 0.5 AND 20000 THEN 1 / d WHEN 1e3 / d BETWEEN 0.5 AND 20000 THEN 1e3 / d WHEN 1e6 / d BETWEEN 0.5 AND 20000 THEN 1e6 / d ELSE 1e9 / d END, 4) AS fs_hz, CASE WHEN 1 / d BETWEEN 0.5 AND 20000 THEN 's' WHEN 1e3 / d BETWEEN 0.5 AND 20000 THEN 'ms' WHEN 1e6 / d BETWEEN 0.5 AND 20000 THEN 'us' ELSE 'ns' END AS unit FROM m")
 def rate_from_time(spark, sf):
     scale = F.when(F.col("p_size") % 3 == 0, 0.004).when(F.col("p_size") % 3 == 1, 4.0).otherwise(4000.0)

@@ -83,23 +83,29 @@ def test_breakdown_rows_and_consensus():
     assert kernels.breakdown(np.zeros(4), 128, "ecg") == [] and kernels.consensus([]) == -1.0
 
 
-def test_flat_stretches():
+def test_flat_stretches(spark):
     rng = np.random.default_rng(3)
     live = wave(1, 250, 20, 0.05)
-    assert quality.flat(live, 250).mean() == 0
-    half = live.copy()
+    half, coloured = live.copy(), live.copy()
     half[2500:] = 0.001 * rng.normal(size=2500)
-    assert 0.4 < quality.flat(half, 250).mean() < 0.6
-    assert quality.flat(np.zeros(500), 250).all() and quality.flat(np.full(500, np.nan), 250).all() and quality.flat(rng.normal(size=5000), 250).all()
-    assert (quality.flat(half, 250) == quality.flat(1e-6 * half, 250)).all()
-
-
-def test_rolling_deviation_keeps_its_width_at_the_left():
-    y = np.random.default_rng(4).normal(size=50)
-    got = quality.rolling_std(y, 9)
-    for i in range(50):
-        lo = max(0, i - 4)
-        assert got[i] == pytest.approx(y[lo : lo + 9].std(), abs=1e-9)
+    coloured[2500:] = 0.01 * np.convolve(rng.normal(size=2520), np.ones(3) / 3, "valid")[:2500]
+    cases = {"live": live, "half": half, "tiny": 1e-6 * half, "coloured": coloured, "zeros": np.zeros(500), "missing": np.full(500, np.nan), "noise": rng.normal(size=5000), "short": wave(1, 250, 0.2)}
+    rows = [(k, i, float(v)) for k, x in cases.items() for i, v in enumerate(x)]
+    got = {r["rec"]: r["flatline_frac"] for r in quality.flatline(spark.createDataFrame(rows, "rec string, n long, x double"), 250.0).collect()}
+    assert got["live"] == 0 and 0.4 < got["half"] < 0.6 and got["tiny"] == got["half"]
+    assert got["zeros"] == got["missing"] == got["noise"] == 1 and got["short"] == 0
+    assert got["coloured"] < 0.05  # noise with some structure is no dead stretch
+
+
+def test_rolling_deviation_keeps_its_width_at_the_left(spark):
+    rng = np.random.default_rng(4)
+    cases = {n: rng.normal(size=n) for n in (1, 3, 8, 9, 10, 50)}
+    rows = spark.createDataFrame([(k, i, float(v), k) for k, y in cases.items() for i, v in enumerate(y)], "rec int, n long, y double, len long")
+    for width in (2, 9):
+        for r in quality.rolling_std(rows, "y", width, "sd").collect():
+            w = min(width, r["rec"])
+            lo = max(0, r["n"] - w // 2)
+            assert r["sd"] == pytest.approx(cases[r["rec"]][lo : lo + w].std(), abs=1e-7)
 
 
 @pytest.mark.parametrize(("a", "b", "want"), [(500, 250, (1, 2)), (360, 250, (25, 36)), (250, 250, (1, 1)), (64, 8, (1, 8)), (44100, 256, (4, 689)), (30000, 256, (16, 1875)), (10000, 8, (1, 1250)), (700, 64, (16, 175))])
@@ -159,12 +165,43 @@ def test_usability_rows():
 
     rng = np.random.default_rng(1)
     drift = np.cumsum(rng.normal(size=2560))
-    rows = {r["band"]: r for r in usability.eeg_bands(drift + 40 * wave(10, 256, 10), 256)}
-    assert rows["alpha"]["usable"] and max(rows.values(), key=lambda r: r["snr_db"])["band"] == "alpha"
-    assert not any(r["usable"] for r in usability.eeg_bands(np.zeros(2560), 256))
-    eda = 5 + 0.3 * np.sin(2 * np.pi * 0.1 * np.arange(480) / 8)
-    assert [r["usable"] for r in usability.eda_components(eda, 8)] == [True, True]
-    assert [r["usable"] for r in usability.eda_components(np.full(480, 5.0), 8)] == [False, False]
+    x = np.stack([drift + 40 * wave(10, 256, 10), np.zeros(2560), drift + 60 * wave(50, 256, 10), rng.normal(size=2560)])
+    alpha, dead, mains, noise = ({r["band"]: r for r in rows} for rows in usability.eeg_bands(x, 256))
+    assert alpha["alpha"]["verdict"] == "clear" and max(alpha.values(), key=lambda r: r["snr_db"])["band"] == "alpha"
+    assert {r["verdict"] for r in dead.values()} == {"flat"} and mains["gamma"]["verdict"] == "mains"
+    assert noise["beta"]["verdict"] == "muscle" and noise["delta"]["verdict"] == "no structure"
+    assert {r["band"]: r["verdict"] for r in usability.eeg_bands(x[:1, :256], 16)[0]}["beta"] == "above nyquist"
+    t = np.arange(480) / 8
+    eda = np.stack([5 + 0.3 * np.sin(2 * np.pi * 0.1 * t), np.full(480, 5.0), 100 + np.sin(t), 5 + 4 * t + np.sin(t), 5 + rng.normal(size=480)])
+    got = [[r["verdict"] for r in rows] for rows in usability.eda_components(eda, 8)]
+    assert got[0][0] == "stable" and got[0][1] in ("responses", "quiet") and got[1] == ["flat", "no baseline"]
+    assert got[2][0] == "level" and got[3][0] in ("drift", "level") and got[4] == ["stable", "motion"]
+    assert usability.eda_components(eda[:, :3], 8)[0][0]["verdict"] == "too short" and usability.usability(eda, 8, "ppg") == [[]] * 5
+
+
+def test_vectorised_banks_against_plain_loops():
+    from math import factorial
+
+    from signalyard.functions import research
+
+    z = np.random.default_rng(5).normal(size=(3, 90))
+    z[1] = np.round(z[1], 1)  # ties
+    for order in (3, 5):
+        want = []
+        for row in z:
+            seen = [tuple(np.argsort(row[i : i + order], kind="stable")) for i in range(91 - order)]
+            p = np.array([seen.count(s) for s in set(seen)]) / len(seen)
+            want.append(-(p * np.log(p)).sum() / np.log(factorial(order)))
+        assert research.permutation_entropy(z, order) == pytest.approx(want)
+    want = []
+    for row in z:
+        s = (row - row.mean()) / (row.std() + 1e-8)
+        pairs = [sum(max(abs(s[i + k] - s[j + k]) for k in range(m)) <= 0.2 for i in range(91 - m) for j in range(91 - m) if i != j) for m in (2, 3)]
+        want.append(-np.log((pairs[1] + 1e-8) / (pairs[0] + 1e-8)))
+    assert research.sample_entropy(z) == pytest.approx(want)
+    for row, got in zip(z, research.higuchi(z, 4), strict=True):
+        curve = [np.mean([np.abs(np.diff(row[m::k])).sum() * 89 / (((89 - m) // k) * k * k) for m in range(k)]) for k in range(1, 5)]
+        assert got == pytest.approx(np.polyfit(-np.log(np.arange(1, 5)), np.log(curve), 1)[0], abs=1e-6)
 
 
 def test_saliency_and_shapley():
