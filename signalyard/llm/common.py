@@ -1,14 +1,13 @@
 """What the training-data operators share: text as bytes, code shipping, and tables in the shared folder."""
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ..runtime import ship
+from ..operators.ranges import bucket_count, range_buckets, running_sums
+from ..runtime import drop_written, new_path, shared_folder, ship, written
+
+__all__ = ["bucket_count", "drop_written", "load", "new_path", "prepare", "range_buckets", "running_sums", "shared_folder", "text_bytes", "written"]
 
 #: Rows that go to a Python worker at once. Texts may be long, so this is far below Spark's 10,000.
 BATCH_ROWS = 512
@@ -20,38 +19,6 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset and the driver is the only
-    machine (tests), one of our own; a cluster must name it."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = getattr(spark.sparkContext, "_signalyard_folder", None) or "file://" + tempfile.mkdtemp(prefix="signalyard-shared")
-        spark.sparkContext._signalyard_folder = folder
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/signalyard/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table in the shared folder: cuts lineage, and survives the loss of executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by `written` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -59,50 +26,3 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def text_bytes(column: str = "text"):
     """A text column as UTF-8 bytes, null as empty: Python workers then need not decode it."""
     return F.coalesce(F.col(column).cast("binary"), F.lit(b""))
-
-
-def bucket_count(spark: SparkSession, least: int = 64) -> int:
-    """Buckets for a range-wise step: twice the shuffle partitions, which a cluster sets by the size of its input."""
-    return max(least, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def range_buckets(df: DataFrame, key: str, buckets: int, spread: Column | None = None) -> tuple[Column, list]:
-    """A bucket number by ranges of a numeric key, and the keys at which buckets begin. Null keys come first: in bucket -1,
-    or dealt to `buckets` of them by `spread`, a number from 0 to 1 by which they are in order.
-
-    The bounds are approximate quantiles: at most `buckets` numbers, whatever the size of `df`. A key is looked up in
-    every k-th bound and then in the k that follow.
-    """
-    ranks = [(i + 1) / buckets for i in range(buckets - 1)]
-    found = df.select(F.percentile_approx(key, ranks, 20 * buckets).alias("q")).first()["q"] if ranks else None
-    bounds = sorted(set(found or []))
-    none = F.lit(-1) if spread is None else F.greatest(F.lit(0), F.least(F.lit(buckets - 1), F.floor(spread * buckets).cast("int"))) - buckets
-    if not bounds:
-        return F.when(F.col(key).isNull(), none).otherwise(F.lit(0)), bounds
-    k = max(1, round(len(bounds) ** 0.5))
-    every, coarse = F.array(*map(F.lit, bounds)), F.array(*map(F.lit, bounds[k - 1 :: k]))
-    steps = F.size(F.filter(coarse, lambda b: b < F.col(key))) * k
-    rest = F.size(F.filter(F.slice(every, steps + 1, F.lit(k)), lambda b: b < F.col(key)))
-    return F.when(F.col(key).isNull(), none).otherwise(steps + rest), bounds
-
-
-def running_sums(df: DataFrame, key: str, values: dict[str, str], ties: list[str], buckets: int | None = None, spread: Column | None = None) -> DataFrame:
-    """`df` with a column for each of `values` (name: column to sum): the sum over all rows before, in order of key and
-    ties. `spread` deals null keys to buckets, see `range_buckets`; it must ascend with the ties.
-
-    Rows are ordered within range buckets only; one sum per bucket goes to the driver.
-    """
-    bucket, _ = range_buckets(df, key, buckets or bucket_count(df.sparkSession), spread)
-    dealt = df.withColumn("_bucket", bucket.cast("int"))
-    sums = sorted(tuple(r) for r in dealt.groupBy("_bucket").agg(*(F.sum(v) for v in values.values())).collect())
-    starts, so_far = [], [0] * len(values)
-    for b, *more in sums:
-        starts.append((b, *so_far))
-        so_far = [x + (y or 0) for x, y in zip(so_far, more, strict=True)]
-    begin = [f"_start{i}" for i in range(len(values))]
-    starts = df.sparkSession.createDataFrame(starts, "_at int, " + ", ".join(f"{c} long" for c in begin))
-    dealt = dealt.join(F.broadcast(starts), F.col("_bucket") == F.col("_at"))  # a row per bucket
-    inside = W.partitionBy("_bucket").orderBy(F.col(key).asc_nulls_first(), *ties).rowsBetween(W.unboundedPreceding, -1)
-    for i, (name, value) in enumerate(values.items()):
-        dealt = dealt.withColumn(name, F.col(begin[i]) + F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return dealt.drop("_at", *begin)
