@@ -20,7 +20,7 @@ _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+$")
 #: White space other than space and line feed, and what begins a special token's string.
 _ODD = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\u1680", "\u180e", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000", "<|")
 #: Pieces in a generation: a worker keeps two, and what it looks up in the older one moves to the younger.
-KEEP = 300_000
+KEEP = 360_000
 _encoders: dict[str, Encoder] = {}
 
 
