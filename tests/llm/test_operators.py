@@ -46,7 +46,7 @@ def test_mix_takes_what_its_sources_are_due(spark):
         assert 0 <= r["taken"] <= 3 * r["size"]
         by[r["source"]] += r["taken"]
     for r in rows:
-        assert abs(by[r["source"]] - r["target"]) <= 1
+        assert abs(by[r["source"]] - r["target"]) <= mixing.PACKET_WORDS
     assert sum(by.values()) == sum(sizes.values())
     again = common.written(mixing.mix_sources(mixing.sized(docs.repartition(7)), buckets=4), "t")
     assert sorted(map(tuple, mixing.taken_words(again).collect()), key=str) == sorted(map(tuple, rows), key=str)
@@ -63,6 +63,45 @@ def test_mix_is_served_by_finish_time_and_cut_at_the_budget(spark):
     assert at == sum(len(SPACE.findall(t or "")) for _, t, *_ in fixtures.rows())
 
 
+def test_mix_is_that_of_a_queue_served_one_by_one(spark):
+    plan = common.written(mixing.mix_sources(mixing.sized(fixtures.frame(spark)), buckets=4), "t")
+    docs = plan.collect()
+    queue = []
+    for r in docs:
+        for turn in range(3 if r["size"] else 0):
+            at, end = turn * r["source_size"] + r["before"], turn * r["source_size"] + r["before"] + r["size"]
+            if end <= r["target"]:
+                queue.append((end / r["target"], r["_k"], r["doc_id"], at, r["size"]))
+            else:
+                cuts = list(range(at, end, mixing.PACKET_WORDS)) + [end]
+                queue += [(b / r["target"], r["_k"], r["doc_id"], a, b - a) for a, b in zip(cuts, cuts[1:])]
+    left, want = docs[0]["budget"], collections.Counter()
+    assert sum(n for *_, n in queue) > left  # the budget cuts the queue
+    for _, _, i, _, n in sorted(queue, key=lambda q: (q[0], q[1], q[2] is not None, q[2] or 0, q[3])):
+        want[i] += min(n, left)
+        left -= min(n, left)
+    got = {r["doc_id"]: r["taken"] for r in mixing.taken_words(plan).collect()}
+    assert left == 0 and got == {r["doc_id"]: want[r["doc_id"]] for r in docs}
+
+
+def test_mix_serves_a_very_long_document_in_part(spark):
+    odd = [(i, f"word {i} of a short text", "en", "a", 1, "x", "y", "z") for i in range(200)] + [(999, "long " * 5000, "en", "b", 1, "x", "y", "z")]
+    docs = spark.createDataFrame(odd, fixtures.empty(spark).schema)
+    rows = mixing.taken_words(common.written(mixing.mix_sources(mixing.sized(docs)), "t")).collect()
+    by = collections.Counter()
+    for r in rows:
+        by[r["source"]] += r["taken"]
+    assert all(abs(by[r["source"]] - r["target"]) <= mixing.PACKET_WORDS for r in rows)
+
+
+def test_mix_does_not_multiply_rows_that_share_an_id(spark):
+    odd = [(None, f"text {i} without an id", "en", "s1", 1, "x", "y", "z") for i in range(30)]
+    odd += [(5, "one id with two texts, the first", "en", "s1", 1, "x", "y", "z"), (5, "one id with two texts, the second", "en", "s1", 1, "x", "y", "z")]
+    odd += [(6, "the same row three times over", "en", "s1", 1, "x", "y", "z")] * 3
+    docs = spark.createDataFrame(odd, fixtures.empty(spark).schema)
+    assert collections.Counter(map(tuple, mixing.mix_documents(docs).collect())) == collections.Counter(odd)
+
+
 def test_mix_on_repeated_null_and_empty(spark):
     docs = fixtures.repeated_and_null(spark)
     assert mixing.taken_words(common.written(mixing.mix_sources(mixing.sized(docs)), "t")).select(F.sum("size")).first()[0] > 0
