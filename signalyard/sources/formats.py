@@ -1,13 +1,17 @@
 """File formats: recognition by content, names and rates of channels, WFDB records, synthetic recordings."""
 from __future__ import annotations
 
+import json
+import math
 import re
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -125,6 +129,16 @@ class Range(InputPartition):
         self.start, self.end = start, end
 
 
+LONG = "recording_id string, channel string, channel_index int, n long, x double"
+
+
+def long_batch(recording: str, channel: str, index: int, start: int, x: np.ndarray) -> pa.RecordBatch:
+    """Consecutive samples of a channel in long form."""
+    k = len(x)
+    columns = [pa.repeat(recording, k), pa.repeat(channel, k), pa.array(np.full(k, index, np.int32)), pa.array(np.arange(start, start + k)), pa.array(np.asarray(x, float))]
+    return pa.RecordBatch.from_arrays(columns, names=["recording_id", "channel", "channel_index", "n", "x"])
+
+
 class WfdbReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.header_path = Path(companion(options["path"]).removeprefix("file:"))
@@ -135,7 +149,7 @@ class WfdbReader(DataSourceReader):
         n = self.header["n_samples"]
         return [Range(s, min(n, s + self.block)) for s in range(0, n, self.block)]
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         h, files = self.header, {}
         for k, s in enumerate(h["signals"]):
             files.setdefault(s["file"], []).append(k)
@@ -152,8 +166,7 @@ class WfdbReader(DataSourceReader):
             values = (wide.view("<i4")[:, 0] >> (8 * (4 - size))).reshape(-1, c)
             for i, k in enumerate(members):
                 s = h["signals"][k]
-                for n, v in enumerate(values[:, i], part.start):
-                    yield h["record"], s["name"], k, n, float(v - s["baseline"]) / s["gain"]
+                yield long_batch(h["record"], s["name"], k, part.start, (values[:, i].astype(float) - s["baseline"]) / s["gain"])
 
 
 class Wfdb(DataSource):
@@ -165,7 +178,7 @@ class Wfdb(DataSource):
         return "wfdb"
 
     def schema(self) -> str:
-        return "recording_id string, channel string, channel_index int, n long, x double"
+        return LONG
 
     def reader(self, schema: T.StructType) -> WfdbReader:
         return WfdbReader(self.options)
@@ -209,7 +222,7 @@ class EdfReader(DataSourceReader):
         n = self.header["records"]
         return [Range(s, min(n, s + self.block)) for s in range(0, n, self.block)]
 
-    def read(self, part: Range) -> Iterator[tuple]:
+    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         h = self.header
         size, each = h["size"], sum(s["samples"] for s in h["signals"])
         with self.path.open("rb") as f:
@@ -222,8 +235,7 @@ class EdfReader(DataSourceReader):
             x = values[:, at : at + s["samples"]].ravel() * s["gain"] + s["offset"]
             at += s["samples"]
             if "Annotations" not in s["label"]:
-                for n, v in enumerate(x.tolist(), part.start * s["samples"]):
-                    yield self.path.stem, s["label"], k, n, v
+                yield long_batch(self.path.stem, s["label"], k, part.start * s["samples"], x)
 
 
 class Edf(DataSource):
@@ -234,16 +246,109 @@ class Edf(DataSource):
         return "edf"
 
     def schema(self) -> str:
-        return "recording_id string, channel string, channel_index int, n long, x double"
+        return LONG
 
     def reader(self, schema: T.StructType) -> EdfReader:
         return EdfReader(self.options)
 
 
+#: Attributes that may hold a rate, and the rates in Hz that are taken for one.
+RATE_KEYS, RATES = ("fs_hz", "fs", "sfreq"), (0.5, 20000.0)
+
+
+def attribute_rate(channel: str, *attributes: dict) -> float:
+    """The rate that the first of some attribute sets declares; none, or none in the plausible range, is refused."""
+    found = next(((k, a[k]) for a in attributes for k in RATE_KEYS if k in a), None)
+    if found is None:
+        raise ValueError(f"channel {channel} has no sampling rate")
+    try:
+        fs = float(found[1])
+    except (TypeError, ValueError):
+        raise ValueError(f"channel {channel}: {found[0]} is not a number") from None
+    if not RATES[0] <= fs <= RATES[1]:
+        raise ValueError(f"channel {channel}: {found[0]} of {fs:g} Hz is no sampling rate")
+    return fs
+
+
+def read_zarr_header(folder: Path) -> list[dict]:
+    """Channels of a Zarr store (version 2): its one-dimensional arrays at the top, by name."""
+    attributes = lambda at: json.loads((at / ".zattrs").read_text()) if (at / ".zattrs").exists() else {}
+    group, out = attributes(folder), []
+    for meta in sorted(folder.glob("*/.zarray")):
+        spec, own, name = json.loads(meta.read_text()), attributes(meta.parent), meta.parent.name
+        if len(spec["shape"]) != 1:
+            raise ValueError(f"array {name} has {len(spec['shape'])} dimensions, not one of samples")
+        packing = (spec.get("compressor") or {}).get("id")
+        if packing not in (None, "zlib", "gzip", "zstd") or spec.get("filters"):
+            raise ValueError(f"array {name}: packing {packing or 'by filters'} is not read")
+        fill = spec.get("fill_value")
+        out.append({"name": name, "n_samples": spec["shape"][0], "chunk": spec["chunks"][0], "type": spec["dtype"], "packing": packing, "fill": 0.0 if fill is None else float(fill), "fs": attribute_rate(name, own, group), "unit": str(own.get("unit", group.get("unit", "")))})
+    if not out:
+        raise ValueError("a Zarr store without arrays at the top")
+    return out
+
+
+def unpacked(raw: bytes, packing: str | None) -> bytes:
+    if packing == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+    return raw if packing is None else zlib.decompress(raw, zlib.MAX_WBITS | 32)
+
+
+class ChunkRange(InputPartition):
+    def __init__(self, channel: int, start: int, end: int) -> None:
+        super().__init__((channel, start, end))
+        self.channel, self.start, self.end = channel, start, end
+
+
+class ZarrReader(DataSourceReader):
+    """Options: `start` and `end`, a range of samples (chunks outside are not read); `channels`, names with commas
+    between; `block`, chunks a task."""
+
+    def __init__(self, options: dict) -> None:
+        self.folder = Path(options["path"].removeprefix("file:"))
+        self.channels = read_zarr_header(self.folder)
+        self.start, self.end = int(options.get("start", 0)), int(options.get("end", 2**62))
+        wanted = options.get("channels")
+        self.wanted = {c["name"] for c in self.channels} if wanted is None else set(wanted.split(","))
+        self.block = int(options.get("block", 64))
+
+    def partitions(self) -> list[ChunkRange]:
+        out = []
+        for k, c in enumerate(self.channels):
+            last = math.ceil(min(c["n_samples"], self.end) / c["chunk"])
+            if c["name"] in self.wanted:
+                out += [ChunkRange(k, i, min(last, i + self.block)) for i in range(self.start // c["chunk"], last, self.block)]
+        return out
+
+    def read(self, part: ChunkRange) -> Iterator[pa.RecordBatch]:
+        c = self.channels[part.channel]
+        for i in range(part.start, part.end):
+            file, first = self.folder / c["name"] / str(i), i * c["chunk"]
+            x = np.frombuffer(unpacked(file.read_bytes(), c["packing"]), c["type"]) if file.exists() else np.full(c["chunk"], c["fill"])
+            lo, hi = max(0, self.start - first), min(c["chunk"], min(c["n_samples"], self.end) - first)
+            if lo < hi:
+                yield long_batch(self.folder.stem, c["name"], part.channel, first + lo, x[lo:hi])
+
+
+class Zarr(DataSource):
+    """spark.read.format("zarr").load("record.zarr"): samples of a Zarr store of one array a channel, read by chunks."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "zarr"
+
+    def schema(self) -> str:
+        return LONG
+
+    def reader(self, schema: T.StructType) -> ZarrReader:
+        return ZarrReader(self.options)
+
+
 def open_recording(spark: SparkSession, path: str, kind: str, index: str = "n") -> DataFrame:
     """Samples of a recording in long form; formats that are not read are refused."""
-    if kind in ("wfdb", "edf", "bdf"):
-        source = Wfdb if kind == "wfdb" else Edf
+    if source := {"wfdb": Wfdb, "edf": Edf, "bdf": Edf, "zarr": Zarr}.get(kind):
         spark.dataSource.register(source)
         return spark.read.format(source.name()).load(path)
     if kind in ("parquet", "csv"):

@@ -1,10 +1,13 @@
 """Files in, files out, and streams."""
 from __future__ import annotations
 
+import gzip
 import json
+import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from signalyard.operators import review, windows
@@ -207,3 +210,45 @@ def test_streamed_envelope_and_late_rows(spark, tmp_path):
         q.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {(str(r["window"]["start"]), r["event_type"], r["n"]) for r in out} >= {("2024-01-01 00:00:00", "a", 2)}
+
+
+def zarr(folder, name, x, chunk, packing=None, attributes=None):
+    pack = {None: bytes, "zlib": zlib.compress, "gzip": gzip.compress, "zstd": lambda b: zstandard.ZstdCompressor().compress(b)}[packing]
+    at = folder / name
+    at.mkdir(parents=True)
+    at.joinpath(".zarray").write_text(json.dumps({"zarr_format": 2, "shape": list(x.shape), "chunks": [chunk] * x.ndim, "dtype": x.dtype.str, "compressor": packing and {"id": packing}, "fill_value": 0, "filters": None, "order": "C"}))
+    if attributes:
+        at.joinpath(".zattrs").write_text(json.dumps(attributes))
+    x = x.ravel()
+    for i in range(0, len(x), chunk):
+        part = np.zeros(chunk, x.dtype)
+        part[: len(x[i : i + chunk])] = x[i : i + chunk]
+        (at / str(i // chunk)).write_bytes(pack(part.tobytes()))
+
+
+def test_zarr_by_chunks(spark, tmp_path):
+    store, want = tmp_path / "rec.zarr", {}
+    for k, packing in enumerate((None, "zlib", "gzip", "zstd")):
+        want[f"c{k}"] = np.sin(np.arange(250 + 10 * k) / (k + 2)).astype("<f4")
+        zarr(store, f"c{k}", want[f"c{k}"], 64, packing, {"fs_hz": 100 + k, "unit": "mV"})
+    (store / "c1" / "1").unlink()  # a chunk that is not there holds the fill value
+    want["c1"][64:128] = 0
+    assert [c["fs"] for c in formats.read_zarr_header(store)] == [100, 101, 102, 103]
+    rows = formats.open_recording(spark, str(store), "zarr")
+    for name, x in want.items():
+        got = rows.filter(F.col("channel") == name).orderBy("n").collect()
+        assert [r["n"] for r in got] == list(range(len(x))) and [r["x"] for r in got] == pytest.approx(x.tolist())
+    part = spark.read.format("zarr").option("start", 60).option("end", 130).option("channels", "c0,c3").option("block", 1).load(str(store))
+    assert part.rdd.getNumPartitions() == 6
+    assert {(r["channel"], r["n"]) for r in part.collect()} == {(c, n) for c in ("c0", "c3") for n in range(60, 130)}
+
+
+@pytest.mark.parametrize("shape,attributes", [((4, 8), {"fs": 100}), ((8,), {}), ((8,), {"fs": "fast"}), ((8,), {"sfreq": 250000}), ((8,), {"fs": "nan"})])
+def test_zarr_that_is_no_recording_is_refused(tmp_path, shape, attributes):
+    zarr(tmp_path, "c", np.zeros(shape, "<f4"), 8, None, attributes)
+    with pytest.raises(ValueError):
+        formats.read_zarr_header(tmp_path)
+
+
+def test_zarr_rate_of_the_channel_before_that_of_the_group():
+    assert formats.attribute_rate("c", {"fs": 8}, {"fs_hz": 250}) == 8 and formats.attribute_rate("c", {}, {"sfreq": 64}) == 64
