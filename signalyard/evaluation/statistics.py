@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -21,6 +21,21 @@ def leave_one_out(rows: DataFrame, group: str) -> DataFrame:
     return every.select("held_out", F.explode(pair).alias("p")).select("held_out", "p.*")
 
 
+def folds(rows: DataFrame, group: str) -> DataFrame:
+    """`rows` with held_out and role: every row once in each fold, as test where its group is held out, else as train.
+    Groups are few: their names are a broadcast of at most `MOST_FOLDS`, more are refused."""
+    names = [r[0] for r in rows.select(group).distinct().limit(MOST_FOLDS + 1).collect()]
+    if len(names) > MOST_FOLDS:
+        raise ValueError(f"more than {MOST_FOLDS} groups: hold out folds of groups instead")
+    kind = rows.schema[group].dataType.simpleString()
+    held = rows.withColumn("held_out", F.explode(F.array(*(F.lit(n).cast(kind) for n in sorted(names, key=lambda n: (n is None, str(n)))))))
+    return held.withColumn("role", F.when(F.col(group).eqNullSafe(F.col("held_out")), "test").otherwise("train"))
+
+
+#: Groups that may each be held out in turn; every row is repeated as often.
+MOST_FOLDS = 256
+
+
 def nested_fractions(rows: DataFrame, key: str, label: str, fractions: Sequence[float], least: int = 1) -> DataFrame:
     """(fraction, key, label): nested subsets of each class, in order of a hash of the key, at least `least` a class."""
     w = W.partitionBy(label).orderBy(F.md5(F.col(key).cast("string")), key)
@@ -30,6 +45,20 @@ def nested_fractions(rows: DataFrame, key: str, label: str, fractions: Sequence[
     return each.filter(F.col("r") <= take).select("fraction", key, label)
 
 
+#: The rational approximation 7.1.26 of the error function by Abramowitz and Stegun, within 1.5e-7.
+ERF_P, ERF_A = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def two_sided(z: Column) -> Column:
+    """The two-sided p-value of a standard normal z."""
+    x = F.abs(z) / 2**0.5
+    t = 1 / (1 + ERF_P * x)
+    series = F.lit(0.0)
+    for a in reversed(ERF_A):
+        series = (series + a) * t
+    return F.least(F.lit(1.0), series * F.exp(-x * x))
+
+
 def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(statistic, n, median_diff, z): signed ranks of a - b with mean ranks for ties, zeros left out; z by the normal
     approximation without continuity correction."""

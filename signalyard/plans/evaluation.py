@@ -146,12 +146,26 @@ def nested_fractions(spark, sf):
     return statistics.nested_fractions(binary(spark, sf), "doc_id", "y", (0.1, 0.5))
 
 
-@query("wilcoxon", f"WITH {BINARY}, d AS (SELECT round(score - y * 0.7, 3) AS d FROM b), k AS (SELECT abs(d) AS m, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS up, count(*) AS k FROM d WHERE d <> 0 GROUP BY 1), r AS (SELECT *, coalesce(sum(k) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (k + 1) / 2.0 AS rk FROM k), s AS (SELECT sum(k) AS n, sum(rk * up) AS plus, sum(rk * k) AS tot, sum(pow(k, 3) - k) AS ties FROM r) SELECT round(least(plus, tot - plus), 6) AS statistic, CAST(n AS BIGINT) AS n, round((plus - tot / 2) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 6) AS z, (SELECT round(quantile_cont(d, 0.5), 6) FROM d) AS median_diff FROM s")
+RANKED = BINARY + """, d AS (SELECT round(score - y * 0.7, 3) AS d FROM b), k AS (SELECT abs(d) AS m, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS up, count(*) AS k FROM d WHERE d <> 0 GROUP BY 1), r AS (SELECT *, coalesce(sum(k) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (k + 1) / 2.0 AS rk FROM k), s AS (SELECT sum(k) AS n, sum(rk * up) AS plus, sum(rk * k) AS tot, sum(pow(k, 3) - k) AS ties FROM r)"""
+
+
+@query("wilcoxon", f"WITH {RANKED} SELECT round(least(plus, tot - plus), 6) AS statistic, CAST(n AS BIGINT) AS n, round((plus - tot / 2) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 6) AS z, (SELECT round(quantile_cont(d, 0.5), 6) FROM d) AS median_diff FROM s")
 def wilcoxon(spark, sf):
     rows = binary(spark, sf).select(F.round(F.col("score") - F.col("y") * 0.7, 3).alias("a"), F.lit(0.0).alias("b"))
     return rounded(statistics.wilcoxon(rows, "a", "b"))
 
 
+@query("wilcoxon_p_value", f"WITH {RANKED}, z AS (SELECT abs((plus - tot / 2) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0)) / sqrt(2) AS x FROM s), t AS (SELECT x, 1 / (1 + 0.3275911 * x) AS t FROM z) SELECT round(least(1.0, ((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x)), 6) AS p_value FROM t")
+def wilcoxon_p_value(spark, sf):
+    rows = binary(spark, sf).select(F.round(F.col("score") - F.col("y") * 0.7, 3).alias("a"), F.lit(0.0).alias("b"))
+    return rounded(statistics.wilcoxon(rows, "a", "b").select(statistics.two_sided(F.col("z")).alias("p_value")))
+
+
+@query("folds", f"WITH {BINARY}, c AS (SELECT DISTINCT cluster AS held_out FROM b) SELECT doc_id, held_out, CASE WHEN cluster IS NOT DISTINCT FROM held_out THEN 'test' ELSE 'train' END AS role FROM b, c")
+def folds(spark, sf):
+    return statistics.folds(binary(spark, sf), "cluster").select("doc_id", "held_out", "role")
+
+
 PVALUES = BINARY + ", pv AS (SELECT cluster AS test, round(pow(avg(y), 20), 9) AS p_value FROM b GROUP BY 1)"
 
 
@@ -207,6 +221,15 @@ def labelled_windows(spark, sf):
     return rounded(labelled.windowize(samples(spark, sf), spans(spark, sf), 20, 20, 0.5))
 
 
+def _share_grade(x: str) -> str:
+    return f"CASE WHEN round({x}, 9) <= 0.05 THEN 3 WHEN round({x}, 9) <= 0.35 THEN 2 WHEN round({x}, 9) <= 0.5 THEN 1 ELSE 0 END"
+
+
+@query("window_grades", f"WITH {WINDOWED}, q AS (SELECT g.rec, g.w, count(a.label) AS n, avg(CASE WHEN a.label = 'Q3' THEN 0.0 WHEN a.label IS NOT NULL THEN 1.0 END) AS bad, avg((3 - CAST(substr(a.label, 2, 1) AS INT)) / 3.0) AS burden, min(CAST(substr(a.label, 2, 1) AS INT)) AS worst, max(s.x) = min(s.x) AS flat FROM gw g JOIN samples s ON s.rec = g.rec AND s.n >= g.w AND s.n < g.w + 20 LEFT JOIN lab a ON a.rec = s.rec AND a.n = s.n GROUP BY 1, 2) SELECT rec, w AS start_n, CASE WHEN flat THEN 0 ELSE {_share_grade('bad')} END AS by_fraction, CASE WHEN flat THEN 0 ELSE greatest({_share_grade('burden')}, worst) END AS by_burden, flat FROM q WHERE n >= 10")
+def window_grades(spark, sf):
+    return labelled.window_grades(samples(spark, sf), spans(spark, sf), 20, 20, 0.5)
+
+
 @query("canonical_types", f"WITH {SPANS} SELECT DISTINCT kind, CASE kind WHEN 'motion_muscle' THEN 'motion|muscle' ELSE 'wander' END AS types FROM spans")
 def canonical_types(spark, sf):
     return spans(spark, sf).select("kind").distinct().select("kind", F.array_join(L.canonical_types(F.col("kind")), "|").alias("types"))

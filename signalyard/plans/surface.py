@@ -12,7 +12,7 @@ from ..sources.tables import table
 from ..runtime import new_path
 from ..streaming import windows as stream
 from .sql import INTERVALS, LENGTH, STATS, STEP
-from .views import intervals, rounded, samples
+from .views import intervals, register, rounded, samples
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -178,3 +178,13 @@ def speaker_runs(spark, sf):
 
     rows = with_runs(table(spark, sf, "conversations"), "conv_id", "turn", ("role",))
     return rows.groupBy("conv_id", "run").agg(F.first("role").alias("role"), F.min("turn").alias("first_turn"), F.count("*").alias("n")).drop("run")
+
+
+#: SQL text over the views, the same in both engines.
+TEXT = "SELECT i.tier, count(DISTINCT i.rec) AS recordings, count(*) AS n, round(avg(i.confidence), 6) AS confidence FROM intervals i JOIN (SELECT rec, count(*) AS len FROM samples GROUP BY rec) s ON s.rec = i.rec WHERE i.end_sec <= s.len GROUP BY i.tier"
+
+
+@query("sql_over_views", f"WITH {INTERVALS} {TEXT}")
+def sql_over_views(spark, sf):
+    register(spark, sf)
+    return spark.sql(TEXT)

@@ -57,3 +57,17 @@ def graded_docs(spark: SparkSession, sf: str) -> DataFrame:
 def rounded(frame: DataFrame, digits: int = 6) -> DataFrame:
     """Floats rounded, so that engines that add in another order agree."""
     return frame.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in frame.dtypes))
+
+
+#: Views that SQL text may name, beside the tables.
+VIEWS = {"samples": samples, "grades": grades, "intervals": intervals}
+
+
+def register(spark: SparkSession, sf: str) -> list[str]:
+    """Make the tables of a folder and the engine's views temporary views of the session, so that plain SQL can name them.
+    Views are plans: a query over one prunes and pushes down as the DataFrame would."""
+    for name in tables.TABLES:
+        tables.table(spark, sf, name).createOrReplaceTempView(name)
+    for name, view in VIEWS.items():
+        view(spark, sf).createOrReplaceTempView(name)
+    return [*tables.TABLES, *VIEWS]

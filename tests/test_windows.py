@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signalyard.operators import refine, segments, windows
+from signalyard.operators import labelled, refine, segments, windows
 
 
 def samples(spark, records):
@@ -105,3 +105,11 @@ def test_one_shuffle_feeds_windows_and_runs(spark, sf):
 
     plan = views.intervals(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_window_grades_by_extent_and_no_worse_than_the_worst(spark):
+    noise = np.arange(20) % 7
+    data = samples(spark, [noise, noise, noise, noise, np.ones(20), noise])
+    spans = [(0, 0, 0, 20, "Q1", "k"), (1, 0, 0, 20, "Q2", "k"), (2, 0, 0, 20, "Q3", "k"), (2, 1, 0, 6, "Q0", "k"), (3, 0, 0, 20, "Q0", "k"), (4, 0, 0, 20, "Q3", "k"), (5, 0, 0, 9, "Q3", "k")]
+    rows = labelled.window_grades(data, spark.createDataFrame(spans, "rec long, ord int, s int, e int, label string, kind string"), 20, 20, 0.5).collect()
+    assert {r["rec"]: (r["by_fraction"], r["by_burden"], r["flat"]) for r in rows} == {0: (0, 1, False), 1: (0, 2, False), 2: (2, 2, False), 3: (0, 0, False), 4: (0, 0, True)}
