@@ -99,3 +99,28 @@ def interval_records(intervals: DataFrame, reviews: DataFrame | None = None) ->
         "rec", F.round("start_sec", 4).alias("start_sec"), F.round("end_sec", 4).alias("end_sec"), F.coalesce("new_tier", "tier").alias("tier"), shown.alias("model_tier"),
         F.round("confidence", 4).alias("confidence"), (changed | (F.coalesce("model_tier", F.lit("")) != "")).alias("overridden"), F.coalesce("note", F.lit("")).alias("note"),
     )
+
+
+#: The columns that tables of intervals have, in this order.
+EXPORTED = ("start_sec", "end_sec", "tier", "model_tier", "confidence", "artifacts", "overridden", "note", "recoverable", "recovered_tier", "uncertainty", "rate_usable", "hr_bpm", "conformal_set", "channel")
+
+
+def export_rows(intervals: DataFrame, reviews: DataFrame | None = None, channel: str = "", key: str = "rec") -> DataFrame:
+    """(key, the 15 exported columns): an interval's tier is that of its review, if it has one; model_tier keeps the
+    model's; an interval is overridden by a review with a tier, or if it was reclassified. What an interval does not carry is false, empty or 0. `channel` names the graded signal of intervals that
+    have no column of that name."""
+    no_tags, no, text = F.array().cast("array<string>"), F.lit(False), F.lit("")
+    absent = {"model_tier": text, "artifacts": no_tags, "recoverable": no, "recovered_tier": text, "uncertainty": F.lit(0.0), "rate_usable": no, "hr_bpm": F.lit(0.0), "conformal_set": no_tags, "channel": F.lit(channel)}
+    rows = intervals.withColumns({c: F.coalesce(F.col(c), v) if c in intervals.columns else v for c, v in absent.items()})
+    if reviews is None:
+        rows = rows.withColumns({"new_tier": F.lit(None).cast("string"), "note": text})
+    else:
+        a, b = span_key(F.col("start_sec"), F.col("end_sec"))
+        given = reviews.select(key, "start_ms", "end_ms", "new_tier", "note")
+        rows = rows.withColumns({"start_ms": a, "end_ms": b}).join(given, [key, "start_ms", "end_ms"], "left")
+    corrected = F.nullif("new_tier", text)
+    shown = {
+        "overridden": corrected.isNotNull() | ((F.col("model_tier") != "") & (F.col("model_tier") != F.col("tier"))), "model_tier": F.coalesce(F.nullif("model_tier", text), F.col("tier")), "tier": F.coalesce(corrected, F.col("tier")),
+        "note": F.coalesce("note", text), "uncertainty": F.round("uncertainty", 4), "hr_bpm": F.round("hr_bpm", 1),
+    }
+    return rows.withColumns(shown).select(key, *EXPORTED)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.arrays import prediction_set
+
 POOR, USABLE = ("Q0", "Q1"), ("Q2", "Q3")
 ROLES = {"all": ("Q0", "Q1", "Q2", "Q3"), "q0": ("Q0",), "poor": POOR, "usable": USABLE}
 
@@ -70,6 +72,28 @@ def majority(windows: DataFrame, flag: str, value: str, start: str = "start_n")
     return out.select("rec", "run", flag, F.when(F.col(flag), F.coalesce(F.col("best.v"), F.lit(""))).otherwise("").alias(value))
 
 
+def run_figures(windows: DataFrame, length: float, threshold: float | None = None, start: str = "start_n") -> DataFrame:
+    """The intervals of `run_length_encode` with all that a run carries, from windows with artifacts, recoverable,
+    recovered_tier, rate_usable, hr_bpm and probs, in the same aggregation: tags in the order in which they are first
+    seen; a flag if half of the windows have it; with it the commonest recovered tier, the first of equals, and the median
+    rate of usable windows; the prediction set of the mean probabilities, empty without a threshold."""
+    rows = with_runs(windows, order=start)
+    half = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("int")) >= 0.5
+    tier = F.when(F.col("recoverable") & (F.col("recovered_tier") != ""), F.col("recovered_tier"))
+    rate = F.when(F.col("rate_usable") & (F.col("hr_bpm") > 0), F.col("hr_bpm"))
+    runs = rows.groupBy("rec", "run").agg(
+        F.min(start).alias("first"), F.max(start).alias("last"), F.first("tier").alias("tier"), F.avg("confidence").alias("confidence"),
+        F.avg("uncertainty").alias("uncertainty"), F.count("*").alias("n_windows"), half("recoverable").alias("recoverable"), F.mode(tier, True).alias("_tier"),
+        half("rate_usable").alias("rate_usable"), F.percentile(rate, F.lit(0.5)).alias("_rate"), F.array(*(F.avg(F.col("probs")[k]) for k in range(len(ROLES["all"])))).alias("_p"),
+        F.array_sort(F.collect_list(F.struct(F.col(start).alias("at"), F.col("artifacts").alias("tags")))).alias("_tags"),
+    )
+    members = F.array().cast("array<string>") if threshold is None else prediction_set(F.col("_p"), list(ROLES["all"]), threshold)
+    runs = runs.withColumn("recovered_tier", F.when(F.col("recoverable"), F.coalesce("_tier", F.lit(""))).otherwise(""))
+    runs = runs.withColumn("hr_bpm", F.when(F.col("rate_usable"), F.coalesce("_rate", F.lit(0.0))).otherwise(0.0)).withColumn("conformal_set", members)
+    runs = runs.withColumn("artifacts", F.array_distinct(F.flatten(F.transform("_tags", lambda t: t["tags"]))))
+    return bounded(runs.drop("_tier", "_rate", "_p", "_tags"), length)
+
+
 def window_intervals(windows: DataFrame, length: float, start: str = "start_n") -> DataFrame:
     """One interval per window; they overlap."""
     return windows.withColumn("start_sec", F.col(start).cast("double")).withColumn("end_sec", F.col(start) + F.lit(float(length)))

@@ -406,3 +406,25 @@ def reclassified(spark, sf):
 def interval_records(spark, sf):
     rows = review.interval_records(intervals(spark, sf).withColumn("model_tier", F.lit("")), reviews(spark, sf))
     return rows.withColumn("note", review.safe_cell(F.col("note")))
+
+
+RUN_FIGURES = TAGGED + REVIEWS[len(INTERVALS) :] + """,
+fl AS (SELECT *, start_n % 3 = 0 AS recoverable, 'Q' || (2 + start_n // 16 % 2) AS recovered_tier, hi >= 150 AS rate_usable, CAST(60 + start_n % 40 AS DOUBLE) AS hr FROM numbered),
+fm AS (SELECT rec, run, avg(CASE WHEN recoverable THEN 1 ELSE 0 END) >= 0.5 AS recoverable, avg(CASE WHEN rate_usable THEN 1 ELSE 0 END) >= 0.5 AS rate_usable, quantile_cont(CASE WHEN rate_usable THEN hr END, 0.5) AS hr FROM fl GROUP BY 1, 2),
+ft AS (SELECT rec, run, recovered_tier AS v, row_number() OVER (PARTITION BY rec, run ORDER BY count(*) DESC, recovered_tier) AS r FROM fl WHERE recoverable GROUP BY 1, 2, 3),
+fp AS (SELECT rec, run, unnest([0, 1, 2, 3]) AS k, unnest([avg(p0), avg(p1), avg(p2), avg(p3)]) AS p FROM numbered GROUP BY rec, run),
+fb AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY rec, run ORDER BY p DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fp),
+fs AS (SELECT rec, run, string_agg('Q' || k, ';' ORDER BY k) AS members FROM fb WHERE before < 0.9 - 1e-12 GROUP BY 1, 2),
+fu AS (SELECT rec, run, unnest(artifacts) AS tag, start_n * 10 + unnest(range(len(artifacts))) AS pos FROM tags),
+fa AS (SELECT rec, run, string_agg(tag, ';' ORDER BY pos) AS artifacts FROM (SELECT rec, run, tag, min(pos) AS pos FROM fu GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
+
+
+@query("export_rows", f"WITH {RUN_FIGURES} SELECT i.rec, round(i.start_sec, 6) AS start_sec, round(i.end_sec, 6) AS end_sec, coalesce(r.new_tier, i.tier) AS tier, i.tier AS model_tier, round(i.confidence, 6) AS confidence, coalesce(fa.artifacts, '') AS artifacts, r.new_tier IS NOT NULL AS overridden, coalesce(CASE WHEN r.note LIKE '=%' THEN '''' || r.note ELSE r.note END, '') AS note, fm.recoverable, CASE WHEN fm.recoverable THEN coalesce(ft.v, '') ELSE '' END AS recovered_tier, round(i.uncertainty, 4) AS uncertainty, fm.rate_usable, CASE WHEN fm.rate_usable THEN round(fm.hr, 1) ELSE 0.0::DOUBLE END AS hr_bpm, fs.members AS conformal_set, 'II' AS channel FROM intervals i JOIN fm ON fm.rec = i.rec AND fm.run = i.run JOIN fs ON fs.rec = i.rec AND fs.run = i.run LEFT JOIN ft ON ft.rec = i.rec AND ft.run = i.run AND ft.r = 1 LEFT JOIN fa ON fa.rec = i.rec AND fa.run = i.run LEFT JOIN rvw r ON r.rec = i.rec AND r.start_ms = CAST(round_even(i.start_sec * 1000, 0) AS BIGINT) AND r.end_ms = CAST(round_even(i.end_sec * 1000, 0) AS BIGINT)")
+def export_rows(spark, sf):
+    """Intervals with all that their runs carry, as tables of intervals are written."""
+    n = F.col("start_n")
+    rows = tagged(spark, sf).withColumn("recoverable", n % 3 == 0).withColumn("recovered_tier", F.concat(F.lit("Q"), (2 + F.floor(n / 16) % 2).cast("string")))
+    rows = rows.withColumn("rate_usable", F.col("hi") >= 150).withColumn("hr_bpm", 60.0 + n % 40)
+    out = review.export_rows(segments.run_figures(rows, LENGTH, 0.9), reviews(spark, sf), "II")
+    lists = {c: F.array_join(c, ";") for c in ("artifacts", "conformal_set")}
+    return rounded(out.withColumns(lists).withColumn("note", review.safe_cell(F.col("note"))))

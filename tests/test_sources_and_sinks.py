@@ -145,6 +145,20 @@ def test_records_and_text_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "queue")).count() == 6
 
 
+def test_tables_have_the_fifteen_columns(spark, tmp_path):
+    iv, _ = records(spark)
+    reviews = spark.createDataFrame([(1, 10_000, 20_000, "Q2", "=1+1")], "rec long, start_ms long, end_ms long, new_tier string, note string")
+    out = review.export_rows(iv, reviews, "II").drop("rec")
+    files.write_csv(out, str(tmp_path / "csv"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "csv"))
+    assert tuple(back.columns) == review.EXPORTED and len(review.EXPORTED) == 15
+    got = {r["start_sec"]: r for r in back.collect()}
+    assert got["10.0"]["artifacts"] == "motion;muscle" and got["10.0"]["note"] == "'=1+1" and got["10.0"]["tier"] == "Q2" and got["10.0"]["model_tier"] == "Q1"
+    assert {k: r["overridden"] for k, r in got.items()} == {"0.0": "false", "10.0": "true", "20.0": "true"}
+    assert {(r["recoverable"], r["rate_usable"], r["hr_bpm"], r["channel"]) for r in got.values()} == {("false", "false", "0.0", "II")}
+    assert review.export_rows(iv.limit(0), None).count() == 0
+
+
 def test_annotations_round_trip(spark, tmp_path):
     _, rec = records(spark)
     path = str(tmp_path / "r.atr")
