@@ -94,7 +94,8 @@ def guard_banners(spark, sf):
 
 @query("rate_from_time", "WITH s AS (SELECT p_size AS k, p_partkey * (CASE p_size % 3 WHEN 0 THEN 0.004 WHEN 1 THEN 4.0 ELSE 4000.0 END) AS t FROM part), d AS (SELECT k, lead(t) OVER (PARTITION BY k ORDER BY t) - t AS d FROM s), m AS (SELECT k, quantile_cont(d, 0.5) AS d FROM d WHERE d IS NOT NULL GROUP BY 1) SELECT k, round(CASE WHEN 1 / d BETWEEN 0.5 AND 20000 THEN 1 / d WHEN 1e3 / d BETWEEN 0.5 AND 20000 THEN 1e3 / d WHEN 1e6 / d BETWEEN 0.5 AND 20000 THEN 1e6 / d ELSE 1e9 / d END, 4) AS fs_hz, CASE WHEN 1 / d BETWEEN 0.5 AND 20000 THEN 's' WHEN 1e3 / d BETWEEN 0.5 AND 20000 THEN 'ms' WHEN 1e6 / d BETWEEN 0.5 AND 20000 THEN 'us' ELSE 'ns' END AS unit FROM m")
 def rate_from_time(spark, sf):
-    scale = F.when(F.col("p_size") % 3 == 0, 0.004).when(F.col("p_size") % 3 == 1, 4.0).otherwise(4000.0)
+    exact = lambda x: F.lit(x).cast("decimal(7, 3)")
+    scale = F.when(F.col("p_size") % 3 == 0, exact("0.004")).when(F.col("p_size") % 3 == 1, exact("4")).otherwise(exact("4000"))
     rows = table(spark, sf, "part").select(F.col("p_size").alias("k"), (F.col("p_partkey") * scale).alias("t"))
     return rounded(formats.rate_from_time(rows, "k", "t"), 4)
 

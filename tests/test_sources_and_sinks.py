@@ -5,11 +5,13 @@ import gzip
 import json
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
+from signalyard import catalog
 from signalyard.operators import review, windows
 from signalyard.sinks import files
 from signalyard.sources import formats, tables
@@ -119,6 +121,18 @@ def test_rates_that_make_no_sense_are_null(spark):
     assert got[1] == (pytest.approx(100), "s") and got[2] == (None, None)
 
 
+def test_rates_take_every_step(spark, tmp_path):
+    """As the SQL has it, also where the first 4,096 samples have another rate, and at a step of 64 keys (3.90625 Hz)."""
+    rows = spark.range(12_000).selectExpr("IF(id < 5000, id, 2 * id - 5000) / 100D AS t", "1 AS k")
+    assert [tuple(r) for r in formats.rate_from_time(rows, "k", "t").collect()] == [(1, pytest.approx(50), "s")]
+    assert [tuple(r) for r in formats.rate_from_time(rows, "k", "t", first=4096).collect()] == [(1, pytest.approx(100), "s")]
+    part = [spark.range(9000).selectExpr(f"{a} AS p_size", f"{a} + IF(id < 4200, {b} * id, {c} * id - {(c - b) * 4200}) AS p_partkey") for a, b, c in ((1, 7, 9), (2, 30, 41), (3, 64, 64))]
+    part[0].union(part[1]).union(part[2]).union(spark.sql("SELECT 5L, 8L")).write.parquet(str(tmp_path / "part.parquet"))
+    want = duckdb.connect().execute(catalog.oracle_sql()["rate_from_time"].replace("FROM part", f"FROM '{tmp_path}/part.parquet/*.parquet'")).fetchall()
+    got = catalog.queries()["rate_from_time"](spark, str(tmp_path)).select("k", "fs_hz", "unit").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 3
+
+
 def records(spark):
     rows = [(1, 0, 0.0, 10.0, "Q3", 0.91, "", ["a"]), (1, 1, 10.0, 20.0, "Q1", 0.55, "", ["motion", "muscle"]), (1, 2, 20.0, 30.0, "Q0", 0.4, "Q1", [])]
     iv = spark.createDataFrame(rows, "rec long, run long, start_sec double, end_sec double, tier string, confidence double, model_tier string, artifacts array<string>")
