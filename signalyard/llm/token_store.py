@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,13 +72,8 @@ def _digest(raw: bytes) -> bytes:
 _STAGED = "key binary, doc_id {kind}, n long, hashes array<binary>, ids binary, kind string"
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, width: int = 2, buckets: int | None = None) -> None:
-    """Encode all documents and write the store. width: bytes of an id in the files, 2 for vocabularies below 65,536."""
-    spark = docs.sparkSession
-    prepare(spark)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    if (most := max(vocabulary(tokenizer), end_id + 1)) > 256**width:
-        raise ValueError(f"ids below {most} do not fit {width} bytes")
+def encoded(tokenizer: str, end_id: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What makes rows of _STAGED, recipes and then the chunks that are new to the task, of batches of (doc_id, text)."""
     end, stored = np.array([end_id], "<u4").tobytes(), f"<u{width}"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +83,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, w
             streams = [enc.encode(text or "") + end for text in b.column(1).to_pylist()]
             sizes = [len(s) // 4 for s in streams]
             ids, ends = np.frombuffer(b"".join(streams), "<u4"), np.cumsum(sizes).tolist()
-            packed, at = memoryview(ids.astype(stored).tobytes()), 0
+            packed, at = ids.astype(stored).tobytes(), 0  # sliced as bytes: pyarrow never frees a memoryview that it is given
             key, n, raw, recipes = [], [], [], []
             for cuts in cut_points(ids, ends):
                 recipe = []
@@ -111,6 +106,17 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, w
             arrays = [pa.array(key, pa.binary()), pa.nulls(m, b.column(0).type), pa.array(n, pa.int64()), pa.nulls(m, pa.list_(pa.binary())), pa.array(raw, pa.binary()), pa.array(["chunk"] * m, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
+    return encode
+
+
+def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, width: int = 2, buckets: int | None = None) -> None:
+    """Encode all documents and write the store. width: bytes of an id in the files, 2 for vocabularies below 65,536."""
+    spark = docs.sparkSession
+    prepare(spark)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    if (most := max(vocabulary(tokenizer), end_id + 1)) > 256**width:
+        raise ValueError(f"ids below {most} do not fit {width} bytes")
+
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for b in batches:  # rows come sorted by key: a chunk that follows its like goes
@@ -120,7 +126,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, w
             yield b.filter(pa.array(keep, pa.bool_()))
 
     schema = _STAGED.format(kind=kind)
-    staged = docs.select("doc_id", "text").mapInArrow(encode, schema).repartition("key").sortWithinPartitions("key").mapInArrow(once, schema)
+    staged = docs.select("doc_id", "text").mapInArrow(encoded(tokenizer, end_id, width), schema).repartition("key").sortWithinPartitions("key").mapInArrow(once, schema)
     staged.write.partitionBy("kind").option("compression", "zstd").parquet(f"{folder}/store")
     recipes = _staged(spark, folder, kind).filter("kind = 'recipe'").select("doc_id", "n", "hashes", "key")
     spread = F.conv(F.hex(F.substring("key", 1, 6)), 16, 10).cast("double") / 2.0**48  # keys are hashes, even over their range

@@ -6,10 +6,12 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -550,6 +552,21 @@ def test_store_on_repeated_null_and_empty(spark):
     assert token_store.read_back(spark, folder).count() == 0
 
 
+def test_encoding_keeps_no_ids_of_batches_that_went_on(monkeypatch):
+    enc, rng = Encoder(PATH), random.Random(7)
+    monkeypatch.setattr(token_store, "encoder", lambda path: enc)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(64)), "text": [" ".join(f"w{rng.randrange(500)}" for _ in range(2000)) for _ in range(64)]})
+    tracemalloc.start()
+    try:
+        held = []
+        for _ in range(4):
+            assert sum(b.num_rows for b in token_store.encoded(PATH, 0, 2)(iter([batch] * 2))) > 256
+            held.append(tracemalloc.get_traced_memory()[0])
+    finally:
+        tracemalloc.stop()
+    assert held[3] - held[1] < 50_000  # a batch's ids are 0.5 MB
+
+
 def test_chunks_meet_again_after_an_insertion():
     ids = np.random.default_rng(5).integers(0, 50_000, 20_000).astype("<u4")
     moved = np.r_[ids[:3000], [1, 2, 3], ids[3000:]].astype("<u4")
